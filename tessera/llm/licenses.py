@@ -131,8 +131,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = rows.where("not gated").selectExpr("doc_id", "n_words", none)
 
     asked = rows.where("gated").withColumn("norm", F.array_join("words", " ")).withColumn("low", F.lower("norm"))
-    # The text is bound as a lambda variable, so that it is made once and not for every rule.
-    wanted = F.flatten(F.transform(F.array("low"), lambda low: F.filter(_rules(), lambda r: F.contains(low, r["keyword"]))))
+    # The text is bound as a lambda variable, so that it is made once and not for every keyword.
+    keywords = F.split(F.lit(",".join(sorted({r.keyword for r in signatures()}))), ",")
+    asked = asked.withColumn("held", F.flatten(F.transform(F.array("low"), lambda low: F.filter(keywords, lambda k: F.contains(low, k)))))
+    wanted = F.flatten(F.transform(F.array("held"), lambda held: F.filter(_rules(), lambda r: F.array_contains(held, r["keyword"]))))
     asked = asked.select("rid", "doc_id", "n_words", "norm", F.explode_outer(wanted).alias("r"))
     spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
     get = lambda k: F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(k))
