@@ -56,6 +56,7 @@ class Pieces:
         self.ids = {self.pieces[i]: i for i in plain}
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece holds a boundary mark inside; units are not independent")
+        self.weight = {p: self.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.byte_score = min(self.scores[i] for i in plain if self.scores[i] > -1e8) - 10.0
         self.memory: dict[str, tuple] = {}
@@ -64,28 +65,42 @@ class Pieces:
     def search(self, s: str, n: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one unit, best first.
 
-        ``edges[i]``: lattice edges that end at ``i``, as (exact best score of a
-        path through it, start, edge score, ids). A popped hypothesis pushes its
-        best extension and its next sibling, so the heap stays small.
+        ``best``: forward scores of all prefixes. Edges that end at a node are made
+        when the backward search gets there, as (exact best score of a path
+        through it, start, edge score, ids). A popped hypothesis pushes its next
+        sibling and follows its best extension, so the heap stays small.
         """
         n = n or self.nbest
-        get, scores, longest = self.ids.get, self.scores, self.longest
-        edges: list[list[tuple]] = [[]]
+        get, longest, single = self.weight.get, self.longest, self.ids
         best = [0.0]
         for i in range(1, len(s) + 1):
-            here = []
+            top = -1e30
             for j in range(i - longest if i > longest else 0, i):
-                k = get(s[j:i])
-                if k is not None:
-                    w = scores[k]
-                    here.append((best[j] + w, j, w, (k,)))
-            if s[i - 1] not in self.ids:
-                spelt = tuple(self.bytes[b] for b in s[i - 1].encode())
-                w = self.byte_score * len(spelt)
-                here.append((best[i - 1] + w, i - 1, w, spelt))
-            here.sort(key=_through)
-            edges.append(here)
-            best.append(here[0][0])
+                w = get(s[j:i])
+                if w is not None and best[j] + w > top:
+                    top = best[j] + w
+            if s[i - 1] not in single:
+                top = max(top, best[i - 1] + self.byte_score * len(s[i - 1].encode()))
+            best.append(top)
+        edges: dict[int, list[tuple]] = {}
+
+        def at_node(i: int) -> list[tuple]:
+            here = edges.get(i)
+            if here is None:
+                here = []
+                for j in range(i - longest if i > longest else 0, i):
+                    w = get(s[j:i])
+                    if w is not None:
+                        here.append((best[j] + w, j, w, (single[s[j:i]],)))
+                if s[i - 1] not in single:
+                    spelt = tuple(self.bytes[b] for b in s[i - 1].encode())
+                    w = self.byte_score * len(spelt)
+                    here.append((best[i - 1] + w, i - 1, w, spelt))
+                if len(here) > 1:
+                    here.sort(key=_through)
+                edges[i] = here
+            return here
+
         out: list[tuple[float, tuple[int, ...]]] = []
         # (-(suffix score + exact best of the rest), newest first, place, rank of the edge there, suffix score, linked suffix)
         heap: list[tuple] = [(-best[-1], 0, len(s), 0, 0.0, None)]
@@ -93,14 +108,14 @@ class Pieces:
         pop, push = heapq.heappop, heapq.heappush
         while heap and len(out) < n:
             _, _, at, rank, g, suffix = pop(heap)
-            here = edges[at]
+            here = at_node(at)
             if rank + 1 < len(here):
                 made -= 1
                 push(heap, (-(g + here[rank + 1][0]), made, at, rank + 1, g, suffix))
             _, j, w, ids = here[rank]
             g, suffix = g + w, (ids, suffix)
             while j:  # the best extension is the next to be popped, or ties with it
-                here = edges[j]
+                here = at_node(j)
                 if len(here) > 1:
                     made -= 1
                     push(heap, (-(g + here[1][0]), made, j, 1, g, suffix))
