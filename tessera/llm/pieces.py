@@ -24,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,10 +153,11 @@ class Pieces:
     def units(self, text: str) -> list[str]:
         return self.UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def encoded(self, text: str) -> bytes:
+        return b"".join([self.unit(u)[3] for u in self.units(text)])
+
     def encode(self, text: str) -> list[int]:
-        ids = array("I")
-        ids.frombytes(b"".join(self.unit(u)[3] for u in self.units(text)))
-        return ids.tolist()
+        return np.frombuffer(self.encoded(text), np.uint32).tolist()
 
     def nbest_encode(self, text: str, n: int | None = None) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text with their scores, best first."""
@@ -227,12 +229,13 @@ def piece_digest(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "
 
 
 def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) per row: the best segmentation."""
+    """(doc_id, ids, n_pieces) per row: the best segmentation."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = pieces(path)
         for batch in batches:
-            yield pd.Series([model.encode(t) for t in batch])
+            yield pd.Series([np.frombuffer(model.encoded(t), np.int32) for t in batch])
 
-    return texts(docs, id_col, text_col).select("doc_id", encode("text").alias("ids"))
+    out = texts(docs, id_col, text_col).select("doc_id", encode("text").alias("ids"))
+    return out.withColumn("n_pieces", F.size("ids").cast("long"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, pages, pieces, quality, secrets, tokens, toxicity
+from tessera.llm import decontaminate, jaccard, licenses, lm, pages, pieces, quality, secrets, tokens, toxicity
 from tessera.llm.common import table
 
 
@@ -39,9 +40,21 @@ def op7_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.main_text(table(spark, sf, "pages"))
 
 
+def op8_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op10_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_tokens, op4_secrets, op5_licenses, op6_quality, op7_pages)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_toxicity, op2_pieces, op3_tokens, op4_secrets, op5_licenses, op6_quality, op7_pages, op8_lm, op9_decontaminate, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

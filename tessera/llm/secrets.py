@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, texts
+from tessera.llm.common import staged
 
 
 @dataclass(frozen=True)
@@ -106,16 +106,20 @@ def _scanned(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text, found) for every row, and the grown ledger; found: array of (start, order, kind, end)."""
-    rows = blobs_of(texts(docs, id_col, text_col))
+    """(doc_id, text, found, rest) for every row, and the grown ledger.
+
+    found: array of (start, order, kind, end), null if nothing; rest: struct of the row's other columns.
+    """
+    others = [docs[c] for c in docs.columns if c != text_col]
+    rows = blobs_of(docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*others).alias("rest")))
     findings, grown = scan(rows, ledger)
     order = F.coalesce(*(F.when(F.col("kind") == r.kind, k) for k, r in enumerate(RULES)))
     span = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("order"), F.col("kind"), s["end"].alias("end")))
     per_blob = findings.withColumn("order", order).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(span))).alias("found"))
     # Written before the join, so that a content with very many paths can be split there.
     per_blob = staged(per_blob, "secrets-by-blob").withColumnRenamed("blob", "_blob")
-    out = rows.select("doc_id", "text", "blob").join(per_blob, F.col("blob") == F.col("_blob"), "left")
-    return out.select("doc_id", "text", "found"), grown
+    out = rows.join(per_blob, F.col("blob") == F.col("_blob"), "left")
+    return out.select("doc_id", "text", "found", "rest"), grown
 
 
 def _joined(spans: Column) -> Column:
@@ -134,17 +138,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(found: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
-    """(doc_id, text) with every match of a rule replaced by ``mark``; texts without findings stay as they are.
-
-    The text is rebuilt from the gaps between matches, rule by rule, in one pass each.
-    """
-    df = found.select("doc_id", "text", (F.size(F.coalesce(F.col("found"), F.array())) > 0).alias("hit"))
-    for rule in RULES:
-        tied, text = F.lit(rf"(?s)\G(.*?)({rule.pattern})"), F.col("text")
-        get = lambda k: F.regexp_extract_all(text, tied, F.lit(k))  # noqa: E731, B023
-        parts = F.when(F.col("hit") & text.rlike(rule.gate), F.arrays_zip(get(1).alias("gap"), get(2).alias("m"), get(2 + rule.value).alias("v")))
-        df = df.withColumn("parts", parts)
-        used = F.aggregate("parts", F.lit(0), lambda a, z: a + F.length(z["gap"]) + F.length(z["m"]))
-        head = F.array_join(F.transform("parts", lambda z: F.concat(z["gap"], F.when(F.length(z["v"]) >= rule.least, mark).otherwise(z["m"]))), "")  # noqa: B023
-        df = df.withColumn("text", F.when(F.col("parts").isNull(), text).otherwise(F.concat(head, F.substring(text, used + 1, F.length(text))))).drop("parts")
-    return df.select("doc_id", "text")
+    """(doc_id, text, rest) with every found span replaced by ``mark``; spans that overlap get one mark."""
+    text, spans = F.col("text"), F.col("found")
+    # Text before a span starts where the furthest span before it has ended.
+    done = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.array_max(F.transform(F.slice(spans, F.lit(1), F.greatest(i, F.lit(1))), lambda s: s["end"])))
+    kept = lambda s, i: F.substring(text, (done(i) + 1).cast("int"), F.greatest(s["start"] - done(i), F.lit(0)).cast("int"))
+    parts = F.transform(spans, lambda s, i: F.concat(kept(s, i), F.when(s["start"] >= done(i), mark).otherwise("")))
+    tail = F.substring(text, (F.array_max(F.transform(spans, lambda s: s["end"])) + 1).cast("int"), F.length(text))
+    return found.select("doc_id", F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(parts, ""), tail)).alias("text"), "rest")
