@@ -9,12 +9,16 @@ No task sees all points. Documents with one set are one class, of which only
 the first is compared. Classes meet in blocks: a class goes to the blocks of
 its ``SKETCH`` smallest shingle hashes. Of two sets with similarity s, each of the
 smallest hashes of their union is in both with probability s, so a pair at
-0.85 shares no block with probability 0.15**16, under 1e-13.
+0.85 shares no block with probability 0.15**32. A block of over ``BLOCK`` classes
+is hot, and only classes with over half of their sketch in hot blocks go there:
+of a pair at 0.85 where one has less, the cold halves agree in 0.7 of their hashes or more, and
+share no block with probability below 0.3**16, 5e-9.
 
-Blocks of up to ``BLOCK`` classes get one R-tree each. A larger block is hot: only
-classes that share few other blocks need it. They are first held against its
-first class, which links the copies of one text in linear time; those not in
-that class's component then query R-trees over the block's members, cut by size and salt.
+First each class is held against the first of its blocks, which links the
+copies of one text in linear time. Then the blocks that still hold several
+components get R-trees, queried for partners in other components only: one for a block of
+moderate size; for a hot block one for each cut by size and salt, asked by the
+classes outside the component of its first.
 
 Cases: texts without words have the empty set and link with nothing; fewer words than a shingle are
 one shingle. Repeated rows are one class. A null id links through its text's
@@ -35,9 +39,9 @@ from tessera.llm.common import small, staged, texts
 from tessera.llm.hashing import mix, runs, slices, word_hashes
 
 WORDS, PERCENT = 4, 85
-DIMS, SKETCH, BLOCK, LEAF = 32, 16, 200, 16
+DIMS, SKETCH, BLOCK, HOT_POINTS, LEAF = 256, 32, 200, 4000, 16
 #: A class with so large a part of its sketch in blocks that are not hot needs no hot block.
-COLD_PART = 0.7
+COLD_PART = 0.5
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -53,7 +57,7 @@ def shingle_sets(column: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-FEATURES = "doc_id long, n long, key1 long, key2 long, vec array<int>, sketch array<long>"
+FEATURES = "doc_id long, n long, key1 long, key2 long, vec array<smallint>, sketch array<long>"
 
 
 def features(rows: DataFrame, words: int = WORDS) -> DataFrame:
@@ -67,7 +71,7 @@ def features(rows: DataFrame, words: int = WORDS) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": part.column(0), "n": pa.array([len(s) for s in sets], pa.int64()), "key1": pa.array([k[0] for k in keys], pa.int64()), "key2": pa.array([k[1] for k in keys], pa.int64()),
-                        "vec": pa.array([np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32) for s in sets], pa.list_(pa.int32())),
+                        "vec": pa.array([np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).clip(max=32767).astype(np.int16) for s in sets], pa.list_(pa.int16())),
                         "sketch": pa.array(ranks, pa.list_(pa.int64())),
                     }
                 )
@@ -122,7 +126,7 @@ PAIR = "a long, b long"
 def _block_join(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Pairs of one block that pass the bound and are not known to be linked; queries: rows marked so, points: the others and they."""
     ids, sizes = table["doc"].to_numpy(), table["n"].to_numpy()
-    vecs = np.array(table["vec"].to_pylist(), np.int32).reshape(len(ids), -1)
+    vecs = table["vec"].combine_chunks().flatten().to_numpy().astype(np.int32).reshape(len(ids), -1)
     comp, asks, holds = table["comp"].to_numpy(), table["asks"].to_numpy(zero_copy_only=False), table["holds"].to_numpy(zero_copy_only=False)
     points = np.flatnonzero(holds)
     out: set[tuple[int, int]] = set()
@@ -178,10 +182,6 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def _no_pairs(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], PAIR)
-
-
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
     rows = texts(docs, id_col, text_col)
@@ -192,38 +192,41 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     points = staged(firsts.dropDuplicates(["rep"]).select(F.col("rep").alias("doc"), "n", "vec", "sketch"), "jaccard-points")
 
     sketches = points.select("doc", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("block"))
-    blocks = sketches.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("members > 1")
-    blocks = staged(blocks, "jaccard-blocks")
-    run = lambda t: _block_join(t, percent)
-
-    twos = blocks.where("members = 2").select("a", "b").distinct()
-    mid = sketches.join(blocks.where(f"members between 3 and {BLOCK}").select("block"), "block").join(points.select("doc", "vec"), "doc")
-    mid = mid.select("block", "doc", "n", "vec", F.col("doc").alias("comp"), F.lit(True).alias("asks"), F.lit(True).alias("holds"))
-    pairs = mid.groupBy("block").applyInArrow(run, PAIR).union(twos)
-
-    hot = blocks.where(f"members > {BLOCK}").select("block", "members", F.col("a").alias("pivot"))
-    members = sketches.join(hot, "block").select("doc", "n", "k", "block", "members", "pivot")
-    need = staged(members.groupBy("doc").agg(F.count(F.lit(1)).alias("hot")), "jaccard-hot")
-    members = members.join(need, "doc").where((F.col("k") - F.col("hot")) < F.ceil(COLD_PART * F.col("k")))
-    members = staged(members.select("doc", "n", "block", "members", "pivot"), "jaccard-members")
-    stars = members.where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-    links = _verified(pairs.union(stars).distinct(), points, rows, words, percent)
-
-    if not members.isEmpty():
-        known = components(links)
-        of = lambda x: known.select(F.col("doc").alias(x), F.col("comp").alias(f"c{x}"))
-        m = members.join(of("doc"), "doc", "left").join(of("pivot"), "pivot", "left")
-        m = staged(m.withColumn("comp", F.coalesce("cdoc", "doc")).withColumn("rest", F.col("comp") != F.coalesce("cpivot", "pivot")), "jaccard-open")
-        bucket = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
-        salts = F.ceil(F.col("members") / BLOCK).cast("int")
-        open_blocks = staged(m.where("rest").groupBy("block").agg(F.count(F.lit(1)).alias("_rest")), "jaccard-rest")
-        m = m.join(open_blocks.select("block"), "block", "left_semi").withColumn("size", bucket).withColumn("salts", salts)
-        point = m.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).withColumn("asks", F.lit(False)).withColumn("holds", F.lit(True))
-        ask = m.where("rest").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        ask = ask.withColumn("asks", F.lit(True)).withColumn("holds", F.lit(False))
-        met = point.unionByName(ask).select("block", "size", "salt", "doc", "n", "comp", "asks", "holds").join(points.select("doc", "vec"), "doc")
-        more = met.groupBy("block", "size", "salt").applyInArrow(run, PAIR).distinct()
-        links = links.union(_verified(more, points, rows, words, percent))
+    blocks = staged(sketches.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-blocks")
+    members = staged(sketches.join(blocks, "block"), "jaccard-members")
+    hot = F.col("members") > BLOCK
+    # A class with many hot hashes has few of its own: it stands in the middle of its copies, and is first.
+    shared = staged(members.groupBy("doc").agg(F.count(F.when(hot, 1)).alias("hot"), F.count(F.lit(1)).alias("met")), "jaccard-hot")
+    members = members.join(shared, "doc").where(~hot | (F.col("k") - F.col("hot") < COLD_PART * F.col("k")))
+    members = staged(members.drop("k"), "jaccard-met")
+    first = members.groupBy("block").agg(F.max(F.struct("hot", "met", (-F.col("doc")).alias("last"))).alias("m"), F.count(F.lit(1)).alias("here"))
+    first = staged(first.where("here > 1").select("block", (-F.col("m.last")).alias("pivot")), "jaccard-first")
+    members = staged(members.drop("hot", "met").join(first, "block"), "jaccard-blocked")
+
+    stars = members.where("doc <> pivot").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
+    links = _verified(stars, points, rows, words, percent)
+
+    known = components(links)
+    of = lambda x: known.select(F.col("doc").alias(x), F.col("comp").alias(f"c{x}"))
+    m = members.join(of("doc"), "doc", "left").join(of("pivot"), "pivot", "left")
+    m = m.withColumn("comp", F.coalesce("cdoc", "doc")).withColumn("rest", F.col("comp") != F.coalesce("cpivot", "pivot")).drop("cdoc", "cpivot")
+    m = staged(m, "jaccard-open")
+    others = m.where("doc <> pivot").groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rest").alias("any"))
+    left = staged(others.where("low <> high or any").select("block"), "jaccard-left")
+    m = m.join(left, "block", "left_semi")
+    # A block of moderate size is one R-tree that its members query (all were held against the pivot already).
+    mid = m.where(~hot & (F.col("doc") != F.col("pivot"))).withColumns({"size": F.lit(0), "salt": F.lit(0), "asks": F.lit(True), "holds": F.lit(True)})
+    # A hot one is cut by size and salt; the rest asks all cuts that can hold a partner.
+    m = m.where(hot).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")).withColumn("salts", F.ceil(F.col("members") / HOT_POINTS).cast("int"))
+    point = m.withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).withColumn("asks", F.lit(False)).withColumn("holds", F.lit(True))
+    cuts = staged(m.select(F.col("block").alias("_b"), F.col("size").alias("_s")).distinct(), "jaccard-cuts")
+    ask = m.where("rest").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    ask = ask.join(cuts, (F.col("block") == F.col("_b")) & (F.col("size") == F.col("_s")), "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    ask = ask.withColumn("asks", F.lit(True)).withColumn("holds", F.lit(False))
+    pick = lambda d: d.select("block", "size", "salt", "doc", "n", "comp", "asks", "holds")
+    met = pick(mid).union(pick(point)).union(pick(ask)).join(points.select("doc", "vec"), "doc")
+    more = met.groupBy("block", "size", "salt").applyInArrow(lambda t: _block_join(t, percent), PAIR).distinct()
+    links = links.union(_verified(more, points, rows, words, percent))
 
     comps = components(links.distinct()).select(F.col("doc").alias("rep"), F.col("comp"))
     named = staged(classes.join(comps, "rep", "left").select("key1", "key2", F.col("n").alias("_n"), F.coalesce("comp", "rep").alias("comp")), "jaccard-named")
