@@ -8,7 +8,7 @@ carries the state and adds up log10 weights.
 
 No machine holds the whole automaton. Documents are dealt into groups; each
 group sends its n-grams' own counts to the buckets they hash to, a bucket sends
-back the totals that differ, and the group builds the part of the automaton
+back the totals, and the group builds the part of the automaton
 that its texts can reach, with exact counts of the whole corpus.
 
 Cases: a null or empty text is its end token alone. Without training documents
@@ -18,6 +18,7 @@ Repeated rows count and are scored each. Null ids train. Other columns are ignor
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,15 @@ END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 _ONE = np.uint64(1)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: those of small numbers are zeros, which the shuffle's compression takes out."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _uni(h: np.ndarray) -> np.ndarray:
     """Keys of single tokens are odd, of pairs even."""
     return mix(h) | _ONE
@@ -127,30 +137,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def counted(table: pa.Table) -> pa.Table:
         g = table["g"][0].as_py()
         keys, counts = _count(table)
-        to = (keys >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(to, kind="stable")
-        keys, counts, to = keys[order], counts[order], to[order]
+        to = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ranges of keys, so order is kept
         cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-        parts = [(int(to[a]), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = [(int(to[a]), _packed(np.diff(keys[a:b], prepend=np.uint64(0))), _packed(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"b": pa.array([x[0] for x in parts], pa.int32()), "g": pa.array([g] * len(parts), pa.int32()), "keys": pa.array([x[1] for x in parts], pa.binary()), "counts": pa.array([x[2] for x in parts], pa.binary())})
 
     def merged(table: pa.Table) -> pa.Table:
-        """Totals go back to the groups where they differ; group -1 gets this bucket's part of the vocabulary and of the tokens."""
-        keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-        counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in table["counts"].to_pylist()]
+        """Each group gets the totals of its keys, in its keys' order; group -1 gets this bucket's part of the vocabulary and of the tokens."""
+        keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table["keys"].to_pylist()]
+        counts = [_unpacked(x).astype(np.int64) for x in table["counts"].to_pylist()]
         every, totals = _sum(np.concatenate(keys), np.concatenate(counts))
         single = (every & _ONE) == _ONE
-        out = [(-1, int(totals[single].sum()), int((totals[single] > 0).sum()), int(totals[every == _uni(np.array([END]))[0]].sum()), None, None)]
-        for g, k, c in zip(table["g"].to_pylist(), keys, counts, strict=True):
-            t = totals[np.searchsorted(every, k)]
-            other = t != c
-            if other.any():
-                out.append((g, 0, 0, 0, k[other].tobytes(), t[other].astype(np.uint64).tobytes()))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(zip(("g", "tokens", "vocabulary", "starts", "keys", "totals"), kinds, strict=True))})
+        b = table["b"][0].as_py()
+        out = [(-1, b, int(totals[single].sum()), int((totals[single] > 0).sum()), int(totals[every == _uni(np.array([END]))[0]].sum()), None)]
+        out += [(g, b, 0, 0, 0, zlib.compress(_packed(totals[np.searchsorted(every, k)]), 1)) for g, k in zip(table["g"].to_pylist(), keys, strict=True)]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(zip(("g", "b", "tokens", "vocabulary", "starts", "totals"), kinds, strict=True))})
 
     sent = dealt.groupBy("g").applyInArrow(counted, "b int, g int, keys binary, counts binary")
-    back = sent.repartition(buckets, "b").groupBy("b").applyInArrow(merged, "g int, tokens long, vocabulary long, starts long, keys binary, totals binary")
+    back = sent.repartition(buckets, "b").groupBy("b").applyInArrow(merged, "g int, b int, tokens long, vocabulary long, starts long, totals binary")
     back = staged(back, "lm")
     whole = back.where("g = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "vocabulary", "starts"))).first()
     sizes = (whole["tokens"], whole["vocabulary"], whole["starts"])
@@ -158,14 +163,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def scored(table: pa.Table, news: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
-        keys, counts = _count(table)
-        for k, t in zip(news["keys"].to_pylist(), news["totals"].to_pylist(), strict=True):
-            counts[np.searchsorted(keys, np.frombuffer(k, np.uint64))] = np.frombuffer(t, np.uint64).astype(np.int64)
+        keys, _ = _count(table)
+        parts = sorted(zip(news["b"].to_pylist(), news["totals"].to_pylist(), strict=True))
+        counts = np.concatenate([_unpacked(zlib.decompress(t)) for _, t in parts]).astype(np.int64)
         model = Automaton(keys, counts, *sizes)
         parts = [model.score(p["text"].combine_chunks()) for p in slices(table, "text")]
         n_tokens, n_known, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.table({"doc_id": table["doc_id"], "train": table["train"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
 
-    news = back.where("g >= 0").select("g", "keys", "totals")
+    news = back.where("g >= 0").select("g", "b", "totals")
     out = dealt.groupBy("g").cogroup(news.groupBy("g")).applyInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(sizes[0]).cast("long").alias("train_tokens"), "base_score", "score")
