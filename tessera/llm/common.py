@@ -51,3 +51,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """A broadcast hint only if the counted rows fit in ``limit`` bytes; else the join shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def sampled(df: DataFrame, key: str, bound: int, total: int) -> DataFrame:
+    """At most ``bound`` of about ``total`` rows, by hash of a key: for fitting only.
+
+    A threshold on the hash leaves about half as many again before the order and
+    limit, so that what tasks send to the driver does not grow with their number.
+    """
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return df.withColumn("_h", h).where(F.col("_h") <= F.lit(int(min(1.0, (1.5 * bound + 50) / max(total, 1)) * (1 << 30)))).orderBy("_h", key).limit(bound).drop("_h")

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import sampled
+
 #: Pages that weights are learned from, at most, by hash of the id.
 SAMPLE = 400
 #: Elements that never hold content, and words in class, id or role that say so of any element.
@@ -136,7 +138,7 @@ def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", url: s
     """(page_id, url, text, n_chars) for every row."""
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
     labelled = rows.where(F.col("html").rlike(r"(?i)<(?:article|main)\b"))
-    sample = labelled.select("html", F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(SAMPLE).collect()
+    sample = sampled(labelled.select("page_id", "html"), "page_id", SAMPLE, rows.count()).collect()
     weights = learn([r["html"] for r in sample])
 
     @F.pandas_udf("string")

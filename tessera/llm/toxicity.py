@@ -24,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder, small, texts
+from tessera.llm.common import remainder, sampled, small, texts
 
 #: Labelled documents of each kind that are learned from at most, by hash of the id; bytes of each part of a dictionary.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, DICTIONARY_BYTES = 4000, 8000, 16_384
+SAMPLE_TOXIC, SAMPLE_ORDINARY, DICTIONARY_BYTES = 3000, 6000, 16_384
 THRESHOLD, REMEMBERED = 0.3, 200_000
 EDGES = ".,!?;:*#$%&|<>()[]{}\"'"
 
@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # Both kinds in their own proportion, so that scores are probabilities.
     n_toxic = min(SAMPLE_TOXIC, rates.get(1, 0))
     n_ordinary = min(SAMPLE_ORDINARY, rates.get(0, 0))
-    pick = lambda kind, n: [r["text"] for r in rows.where(f"toxic = {kind}").select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(n).collect()]
+    pick = lambda kind, n: [r["text"] for r in sampled(rows.where(f"toxic = {kind}").select("doc_id", "text"), "doc_id", n, rates.get(kind, 0)).collect()]
     model = train(pick(1, n_toxic), pick(0, n_ordinary))
     if model.weights:
         shift = math.log(rates[1] / rates[0]) - math.log(n_toxic / n_ordinary)
