@@ -18,10 +18,11 @@ holds the boundary mark itself decodes to a space there, and says so in
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
-from array import array
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,10 @@ from tessera.llm.common import texts
 
 MARK = "▁"
 NBEST = 3
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 120_000, 64
 
 
-def _through(edge: tuple) -> tuple[float, int]:
-    return -edge[0], edge[1]
+_NO = object()
 
 
 class Pieces:
@@ -58,7 +58,10 @@ class Pieces:
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece holds a boundary mark inside; units are not independent")
         self.weight = {p: self.scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        # Every beginning of a piece: its score if it is one, else None.
+        heads: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        heads.update(self.weight)
+        self.starts = heads.get
         self.byte_score = min(self.scores[i] for i in plain if self.scores[i] > -1e8) - 10.0
         self.memory: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -66,80 +69,81 @@ class Pieces:
     def search(self, s: str, n: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one unit, best first.
 
-        ``best``: forward scores of all prefixes. Edges that end at a node are made
-        when the backward search gets there, as (exact best score of a path
-        through it, start, edge score, ids). A popped hypothesis pushes its next
+        ``best``: forward scores of all prefixes; ``edges``: per node, minus the exact best score of a path
+        by the edge, and its start. A popped hypothesis pushes its next
         sibling and follows its best extension, so the heap stays small.
         """
         n = n or self.nbest
-        get, longest, single = self.weight.get, self.longest, self.ids
-        best = [0.0]
-        for i in range(1, len(s) + 1):
-            top = -1e30
-            for j in range(i - longest if i > longest else 0, i):
-                w = get(s[j:i])
-                if w is not None and best[j] + w > top:
-                    top = best[j] + w
-            if s[i - 1] not in single:
-                top = max(top, best[i - 1] + self.byte_score * len(s[i - 1].encode()))
-            best.append(top)
-        edges: dict[int, list[tuple]] = {}
-
-        def at_node(i: int) -> list[tuple]:
-            here = edges.get(i)
-            if here is None:
-                here = []
-                for j in range(i - longest if i > longest else 0, i):
-                    w = get(s[j:i])
-                    if w is not None:
-                        here.append((best[j] + w, j, w, (single[s[j:i]],)))
-                if s[i - 1] not in single:
-                    spelt = tuple(self.bytes[b] for b in s[i - 1].encode())
-                    w = self.byte_score * len(spelt)
-                    here.append((best[i - 1] + w, i - 1, w, spelt))
-                if len(here) > 1:
-                    here.sort(key=_through)
-                edges[i] = here
-            return here
-
+        starts, size = self.starts, len(s)
+        best = [-1e30] * (size + 1)
+        best[0] = 0.0
+        edges: list[list[tuple[float, int]]] = [[] for _ in range(size + 1)]
+        for i in range(size):
+            b, k = best[i], i + 1
+            if s[i] not in self.weight:
+                x = b + self._spelt(s[i])
+                edges[k].append((-x, i))
+                if x > best[k]:
+                    best[k] = x
+            while k <= size:
+                w = starts(s[i:k], _NO)
+                if w is not None:
+                    if w is _NO:  # no piece starts so
+                        break
+                    x = b + w
+                    edges[k].append((-x, i))
+                    if x > best[k]:
+                        best[k] = x
+                k += 1
         out: list[tuple[float, tuple[int, ...]]] = []
-        # (-(suffix score + exact best of the rest), newest first, place, rank of the edge there, suffix score, linked suffix)
-        heap: list[tuple] = [(-best[-1], 0, len(s), 0, 0.0, None)]
+        # (-(exact best of a path by this edge and suffix), newest first, place, rank of the edge there, -(suffix score), linked suffix)
+        heap: list[tuple] = [(-best[-1], 0, size, 0, 0.0, None)]
         made = 0
         pop, push = heapq.heappop, heapq.heappush
-        while heap and len(out) < n:
+        ordered = [False] * (size + 1)
+        while heap:
             _, _, at, rank, g, suffix = pop(heap)
-            here = at_node(at)
-            if rank + 1 < len(here):
-                made -= 1
-                push(heap, (-(g + here[rank + 1][0]), made, at, rank + 1, g, suffix))
-            _, j, w, ids = here[rank]
-            g, suffix = g + w, (ids, suffix)
-            while j:  # the best extension is the next to be popped, or ties with it
-                here = at_node(j)
-                if len(here) > 1:
+            while True:
+                here = edges[at]
+                if not ordered[at]:
+                    here.sort()
+                    ordered[at] = True
+                if rank + 1 < len(here):
                     made -= 1
-                    push(heap, (-(g + here[1][0]), made, j, 1, g, suffix))
-                _, j, w, ids = here[0]
-                g, suffix = g + w, (ids, suffix)
-            whole: list[int] = []
+                    push(heap, (g + here[rank + 1][0], made, at, rank + 1, g, suffix))
+                cost, j = here[rank]
+                g += cost + best[j]
+                suffix = (j, suffix)
+                if not j:
+                    break
+                at, rank = j, 0  # the best extension is the next to be popped, or ties with it
+            ids: list[int] = []
             while suffix is not None:
-                whole += suffix[0]
-                suffix = suffix[1]
-            out.append((g, tuple(whole)))
+                j, suffix = suffix
+                t = s[j : suffix[0] if suffix else len(s)]
+                if t in self.ids:
+                    ids.append(self.ids[t])
+                else:
+                    ids += (self.bytes[b] for b in t.encode())
+            out.append((-g, tuple(ids)))
+            if len(out) == n:
+                break
         return out
 
+    def _spelt(self, ch: str) -> float:
+        return self.byte_score * len(ch.encode())
+
     def unit(self, s: str) -> tuple:
         """(pieces, best score, losses of the others, ids as bytes, whether it decodes to itself)"""
         known = self.memory.get(s)
-        if known is None:
+        if known is None or isinstance(known, bytes):
             known = self.older.get(s)
-            if known is not None:
+            if known is not None and not isinstance(known, bytes):
                 self._remember(s, known)
                 return known
             found = self.search(s)
             score, ids = found[0]
-            known = (len(ids), score, tuple(score - x for x, _ in found[1:]), array("I", ids).tobytes(), self._join(ids) == s)
+            known = (len(ids), score, tuple([score - x for x, _ in found[1:]]), struct.pack(f"<{len(ids)}I", *ids), self._join(ids) == s)
             if len(s) <= REMEMBERED_LENGTH:
                 self._remember(s, known)
         return known
@@ -154,7 +158,20 @@ class Pieces:
         return self.UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encoded(self, text: str) -> bytes:
-        return b"".join([self.unit(u)[3] for u in self.units(text)])
+        """The best ids as 32-bit numbers."""
+        return b"".join(map(self._best, self.units(text)))
+
+    def _best(self, s: str) -> bytes:
+        known = self.memory.get(s) or self.older.get(s)
+        if known is None:
+            ids = self.search(s, 1)[0][1]
+            known = struct.pack(f"<{len(ids)}I", *ids)
+            if len(s) > REMEMBERED_LENGTH:
+                return known
+            self._remember(s, known)
+        elif s not in self.memory:
+            self._remember(s, known)
+        return known if isinstance(known, bytes) else known[3]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encoded(text), np.uint32).tolist()
@@ -209,6 +226,7 @@ _models: dict[tuple[str, int], Pieces] = {}
 def pieces(path: str, nbest: int = NBEST) -> Pieces:
     """One model for each worker."""
     if (path, nbest) not in _models:
+        gc.set_threshold(200_000, 20, 100)  # the memory holds many small objects without cycles; tracing them often would cost
         _models[path, nbest] = Pieces(path, nbest)
     return _models[path, nbest]
 
