@@ -26,15 +26,15 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm.common import texts
+from tessera.llm.hashing import slices
 
 MARK = "▁"
 NBEST = 3
-REMEMBERED, REMEMBERED_LENGTH = 120_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 60_000, 64
 
 
 _NO = object()
@@ -237,23 +237,28 @@ DIGEST = "n_pieces long, best_score double, nbest_scores array<double>, ids_sha2
 def piece_digest(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: number of pieces, scores of the N best, SHA-256 of the best ids (32-bit little-endian), whether they decode to the text."""
 
-    @F.pandas_udf(DIGEST)
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, nbest)
         for batch in batches:
-            yield pd.DataFrame([model.digest(t) for t in batch], columns=["n_pieces", "best_score", "nbest_scores", "ids_sha256", "round_trip"])
+            for part in slices(batch, "text"):
+                n, best, scores, ids, same = zip(*map(model.digest, part.column(1).to_pylist()), strict=True)
+                yield pa.record_batch({"doc_id": part.column(0), "n_pieces": pa.array(n, pa.int64()), "best_score": pa.array(best, pa.float64()), "nbest_scores": pa.array(scores, pa.list_(pa.float64())), "ids_sha256": pa.array(ids), "round_trip": pa.array(same)})
 
-    return texts(docs, id_col, text_col).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+    rows = texts(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {DIGEST}")
 
 
 def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, n_pieces) per row: the best segmentation."""
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            yield pd.Series([np.frombuffer(model.encoded(t), np.int32) for t in batch])
-
-    out = texts(docs, id_col, text_col).select("doc_id", encode("text").alias("ids"))
-    return out.withColumn("n_pieces", F.size("ids").cast("long"))
+            for part in slices(batch, "text"):
+                rows = [model.encoded(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(r) // 4 for r in rows], dtype=np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                yield pa.record_batch({"doc_id": part.column(0), "ids": ids, "n_pieces": pa.array(np.diff(ends).astype(np.int64))})
+
+    rows = texts(docs, id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long")
