@@ -25,6 +25,7 @@ THRESHOLD, PRIOR_FEATURES = -0.10, 20
 #: Added to each bucket's count in both multinomials.
 SMOOTHING = 1.0
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
@@ -91,10 +92,10 @@ def judge(docs: DataFrame, ratios: list[float]) -> DataFrame:
     df = df.withColumn("llr", total / (F.greatest(2 * F.col("n_words") - 1, F.lit(0)) + PRIOR_FEATURES))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).drop("words", "h", "lines")
-
-
-COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD))
+    # A generator stands above the expressions: a filter on a verdict pushed through them would hold them many times over.
+    results = F.inline_outer(F.array(F.struct(*COLUMNS[1:])))
+    return df.select(*(docs[c] for c in docs.columns if c not in COLUMNS[1:]), results)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

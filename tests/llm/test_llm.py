@@ -1,0 +1,230 @@
+"""Operators against plain Python over a small table with hard rows, and over the smallest stored tables."""
+
+import math
+import zlib
+from collections import Counter
+
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessera.llm import decontaminate, jaccard, licenses, lm, pages, pieces, quality, registry, secrets, tokens, toxicity
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, found string, h int, keep boolean"
+
+
+def stored(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Hard texts, near copies, a repeated row, stored documents."""
+    base = [r["text"] for r in stored("documents")[:60]]
+    long = base[2]
+    near = [long + f" tail {k}" for k in range(5)] + [" ".join(long.split()[k:]) for k in range(1, 4)]
+    every = brute.HARD_TEXTS + base + near + [long, long]
+    return list(enumerate(every)) + [(3, brute.HARD_TEXTS[3])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """With further columns whose names clash with those used inside."""
+    return spark.createDataFrame([(i, t, None, "s", None, "w", "f", 1, True) for i, t in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, int(i % 3 > 0), i % 2) for i in range(80)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def got(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_secrets(docs, rows, empty):
+    found, ledger = secrets.secret_scan(docs)
+    want = sorted(((i, *brute.secrets(t)[:4]) for i, t in rows), key=repr)
+    assert got(secrets.digest(found), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+    assert secrets.secret_scan(empty)[0].count() == 0
+    ledger.cache()
+    known = ledger.count()
+    again, grown = secrets.secret_scan(docs, ledger)
+    assert got(secrets.digest(again), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+    assert grown.count() == known  # nothing was scanned anew
+    clean = secrets.redacted(found)
+    assert clean.count() == len(rows)
+    for r in clean.where(F.col("text").contains("[REDACTED]")).collect():
+        assert brute.secrets(r["text"])[:3] == (0, 0, 0)
+
+
+def test_licenses(docs, rows, empty):
+    out = licenses.digest(licenses.license_scan(docs))
+    assert got(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(((i, *brute.licenses(t)) for i, t in rows), key=repr)
+    assert licenses.license_scan(empty).count() == 0
+    assert len(licenses.signatures()) > 200
+
+
+def test_license_suppression(spark):
+    text = "under the GNU General Public License version 3 or later; all rights reserved"
+    r = licenses.digest(licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert (r["n_base"], r["base_labels"]) == (2, "gpl,reserved")
+    assert "gpl-3-or-later" in r["labels"].split(",") and "gpl-3" not in r["labels"].split(",")
+
+
+def test_quality(docs, rows, labels, empty):
+    out = quality.quality_rules(docs, labels)
+    assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(((i, *brute.quality(t)) for i, t in rows), key=repr)
+    assert out.where("base_failed and kept").count() == 0
+    assert quality.quality_rules(empty, labels).count() == 0
+    assert quality.quality_rules(docs, labels.limit(0)).where("llr <> 0").count() == 0
+
+
+def test_quality_keeps_good_documents(spark):
+    out = {r["doc_id"]: r for r in registry.op6_quality(spark, SF).collect()}
+    good = [out[r["doc_id"]] for r in stored("labels") if r["quality"] == 1]
+    assert all(r["kept"] for r in good if not r["base_failed"])
+
+
+def test_tokens(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False))
+    want = sorted(((i, len((t or "").encode()), n := count(t or ""), n > 2048) for i, t in rows), key=repr)
+    assert got(tokens.token_counts(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert tokens.token_counts(empty, path).count() == 0
+    c = tokens.PrefixCounter(path)
+    for word in ("thanationing", "éçmentoiè", "aaaaaaaaaaaa"):
+        assert c.word_prefixes(word) == [count(word[:k]) for k in range(len(word) + 1)]
+    text = "the anger of stones, and thereafter 12 don't"
+    assert [n for _, n in c.prefixes(text)] == [count(text[:end]) for end, _ in c.prefixes(text)]
+    for budget in range(count(text) + 1):
+        cut = c.fit(text, budget)
+        assert count(cut) <= budget and (cut == text or count(text[: len(cut) + 1]) > budget or text[len(cut)] == " ")
+
+
+def test_pieces(docs, rows, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.Pieces(path)
+
+    def every(s, i=0):
+        if i == len(s):
+            yield 0.0
+        for j in range(i + 1, len(s) + 1):
+            if s[i:j] in model.weight:
+                yield from (model.weight[s[i:j]] + g for g in every(s, j))
+        if i < len(s) and s[i] not in model.weight:
+            yield from (model._spelt(s[i]) + g for g in every(s, i + 1))
+
+    for s in ("▁the", "▁aé☃b", "▁▁inin", "▁ererer", "▁stoned"):
+        assert [round(g, 3) for g, _ in model.search(s, 4)] == [round(g, 3) for g in sorted(every(s), reverse=True)[:4]]
+    best = model.nbest_encode("the stone er", 4)
+    assert [g for g, _ in best] == sorted((g for g, _ in best), reverse=True) and all(model.decode(ids) == "the stone er" for _, ids in best)
+    out = pieces.piece_digest(docs, path)
+    assert out.count() == len(rows) and out.where("not round_trip").count() == 0
+    assert pieces.piece_digest(empty, path).count() == 0
+    texts = dict(rows)
+    for r in pieces.encode_table(docs, path).collect():
+        assert model.decode(r["ids"]) == (texts[r["doc_id"]] or "")
+
+
+def test_language_model(docs, rows, empty):
+    seq = [(i, brute.words(brute.lower(t)) + ["<end>"]) for i, t in rows]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    train = [w for i, w in seq if not held(i)]
+    uni = Counter(x for w in train for x in w)
+    pair = Counter(p for w in train for p in zip(["<start>", *w], w))
+    total, kinds = sum(uni.values()), len(uni)
+    context = uni | {"<start>": len(train)}
+    p = lambda w: (uni[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    want = [(i, held(i), len(w), sum(uni[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 6),
+             round(sum(math.log10((pair[h, x] + lm.MASS * p(x)) / (context.get(h, 0) + lm.MASS)) for h, x in zip(["<start>", *w], w)), 6)) for i, w in seq]
+    out = lm.lm_scores(docs).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+    assert got(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score") == sorted(want, key=repr)
+    assert lm.lm_scores(empty).count() == 0
+
+
+def test_jaccard(docs, rows, empty, monkeypatch):
+    want = brute.jaccard_components(rows)
+    expected = sorted(((i, *want[i]) for i, _ in rows), key=repr)
+    assert got(jaccard.jaccard_join(docs), "doc_id", "n_shingles", "component_id") == expected
+    monkeypatch.setattr(jaccard, "BLOCK", 2)  # every larger block is hot
+    monkeypatch.setattr(jaccard, "HOT_POINTS", 2)
+    assert got(jaccard.jaccard_join(docs), "doc_id", "n_shingles", "component_id") == expected
+    assert jaccard.jaccard_join(empty).count() == 0
+
+
+def test_rtree():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vecs = rng.poisson(3, (300, 16)).astype(np.int32)
+    vecs[150:] = vecs[:150] + (rng.random((150, 16)) < 0.1)
+    sizes = vecs.sum(axis=1).astype(np.int64)
+    tree = jaccard.RTree(vecs, sizes)
+    for k in range(0, 300, 7):
+        plain = [j for j in range(300) if np.minimum(vecs[j], vecs[k]).sum() >= jaccard.needed(int(sizes[j]), int(sizes[k]))]
+        assert set(plain) <= set(tree.query(vecs[k], int(sizes[k])).tolist())
+
+
+def test_decontaminate(spark, empty):
+    items = stored("benchmark")
+    found = {(r["doc_id"], r["item_id"]) for r in registry.op9_decontaminate(spark, SF).collect()}
+    plain = {(d["doc_id"], i["item_id"]) for d in stored("documents") for i in items if i["text"] in (d["text"] or "")}
+    assert found >= plain and len(found) <= len(plain) + 2
+    bench = spark.createDataFrame([(1, items[0]["text"]), (2, None), (3, "")], "item_id long, text string")
+    assert decontaminate.decontaminate(empty, bench).count() == 0
+    loud = spark.createDataFrame([(7, "Intro. " + items[0]["text"].upper().replace(" ", "  ") + " outro"), (8, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.decontaminate(loud, bench).collect()] == [(7, 1)]
+
+
+def test_pages(spark):
+    weights = pages.learn([r["html"] for r in stored("pages")])
+    page = """<html><head><title>T</title></head><body><header class=top><h1>Site</h1></header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div>
+    <article><h1>Head&amp;line</h1><p>One <b>bo</b>ld   word.</p><div class="ad">Buy</div><p>Second &lt;para&gt;.<br>Third</p><section id="comments"><p>Nice!</p></section></article>
+    <aside>Side</aside><form><p>Mail</p></form><footer>Foot</footer></body></html>"""
+    assert pages.extract(page, weights) == "Head&line One bold word. Second <para>. Third"
+    odd = ["", "<", "<p", "<!-- x", "<script>a", "<article>", "plain words only", "<div class='x>unclosed</div>", "</p></div>"]
+    df = spark.createDataFrame([(k, "u", h) for k, h in enumerate([None, *odd])], "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert len(out) == len(odd) + 1 and out[0] == "" and out[odd.index("plain words only") + 1] == "plain words only"
+    assert pages.main_text(df.limit(0)).count() == 0
+
+
+def test_toxicity(spark, docs, labels, rows, empty):
+    out = toxicity.toxicity(docs, labels)
+    assert out.count() == len(rows) and out.where("score is null or score < 0 or score > 1").count() == 0
+    assert toxicity.toxicity(empty, labels).count() == 0
+    assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    marks = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
+    held = [(r["score"], marks[r["doc_id"]]) for r in registry.op1_toxicity(spark, sf).where("held_out").collect() if r["doc_id"] in marks]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert auc > 0.85
+
+
+def test_pipeline(spark):
+    texts = {r["doc_id"]: r["text"] for r in stored("documents")}
+    kept = {r["doc_id"] for r in registry.op6_quality(spark, SF).collect() if r["kept"]}
+    groups = brute.jaccard_components((i, texts[i]) for i in kept)
+    items = [r["text"] for r in stored("benchmark")]
+    want = {i for i, (_, c) in groups.items() if i == c and not any(x in texts[i] for x in items)}
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert out.keys() <= want and len(want) - len(out) <= 2
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert all(model.decode(r["ids"]) == texts[i] or brute.secrets(texts[i])[4] or "[REDACTED]" in model.decode(r["ids"]) for i, r in out.items())
