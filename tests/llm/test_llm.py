@@ -1,10 +1,12 @@
 """Operators against plain Python over a small table with hard rows, and over the smallest stored tables."""
 
+import hashlib
 import math
 import zlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +135,14 @@ def test_pieces(docs, rows, empty):
     assert [g for g, _ in best] == sorted((g for g, _ in best), reverse=True) and all(model.decode(ids) == "the stone er" for _, ids in best)
     out = pieces.piece_digest(docs, path)
     assert out.count() == len(rows) and out.where("not round_trip").count() == 0
+    column = pa.array([t or "" for _, t in rows] + ["▁a▁▁b", "  ", " a  ", "é日本 ☃☃", "a" * 700])
+    got_now = pieces.digests(model, column, 4)
+    for k, t in enumerate(column.to_pylist()):
+        one = model.nbest_encode(t, 4)
+        ids = b"".join(i.to_bytes(4, "little") for i in one[0][1])
+        assert (got_now["n_pieces"][k].as_py(), got_now["ids_sha256"][k].as_py()) == (len(one[0][1]), hashlib.sha256(ids).hexdigest())
+        assert got_now["nbest_scores"][k].as_py() == pytest.approx([g for g, _ in one])
+        assert got_now["round_trip"][k].as_py() == ("▁" not in t)
     assert pieces.piece_digest(empty, path).count() == 0
     texts = dict(rows)
     for r in pieces.encode_table(docs, path).collect():
