@@ -1,22 +1,22 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by rare shingles of the items.
 
-Every item has windows of its size class (the largest power of two up to two
-thirds of its words) at every offset up to half a window; documents have
-windows of each class at every half window. So a copied item holds a whole
-window of the document at one of the offsets. Fingerprints are cut into
-``RADIUS + 1`` blocks: two within the radius agree in one block at least, so
-block tables find all of them. A candidate is verified by the weighted Jaccard
-similarity of five-word shingles between the item and the words around it.
+A document holds an item if any run of its words, of whatever length, has a
+weighted Jaccard similarity of five-word shingles with the item of
+``SIMILARITY`` or more. Such a run shares at least that part of the item's
+shingles, so it holds one of any choice of more than the rest: tables keep
+of each item as many of those shingles that the fewest items have, and no copy is missed. Around
+the places found, the best run is chosen among all that begin and end with a shared
+shingle; no other run is better than the one left of it when its ends are cut off.
 
 Words are runs of letters, digits and characters beyond ASCII, in lower case.
 
-Cases: null and empty texts match nothing, nor do items without words. Items of under five words are one
+Cases: null and empty texts match nothing, nor do items of under three words. Items of under five words are one
 shingle. Repeated rows are matched each. Null ids are kept. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,126 +27,108 @@ from pyspark.sql import functions as F
 from tessera.llm.common import texts
 from tessera.llm.hashing import ALNUM, mix, runs, slices, word_hashes
 
-RADIUS, SHINGLE, SIMILARITY = 3, 5, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
 #: Items held by a worker at a time; a larger benchmark takes several passes over the documents.
 ITEMS_A_PASS = 5000
-#: Words by which a copy may have shifted against its window.
-SHIFTS = (0, -1, 1, -2, 2)
-_POPCOUNT = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
+#: Bits of a shingle that a first look goes by.
+LOOK = np.uint64((1 << 22) - 1)
 
 
-def simhash(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """64-bit fingerprints of the windows of ``size`` words from ``starts`` on: the sign of the sum of the words' bits."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(starts), 64), np.int16)
-    for k in range(size):
-        sums += bits[starts + k]
-    return np.packbits(sums * 2 > size, axis=1).view(np.uint64).ravel()
+def reach(n: int) -> tuple[int, int]:
+    """Least overlap of an item of ``n`` shingles with a copy, and most shingles of the copy."""
+    return math.ceil(n * SIMILARITY - 1e-9), math.floor(n / SIMILARITY + 1e-9)
 
 
-def _halves(h: np.ndarray, offsets: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all windows of two half windows, and where they start; each text has its own grid."""
-    counts = np.diff(offsets) // half
+def best_run(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[float, int, int] | None:
+    """(similarity, first, shingles) of the run of ``part`` most similar to an item with these shingles: sum of smaller over sum of larger multiplicities."""
     total = int(counts.sum())
-    if not total:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(counts)), counts)
-    k = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = offsets[text] + k * half
-    full = k + 1 < counts[text]
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((total, 64), np.uint8 if half < 100 else np.int32)
-    for j in range(half):
-        sums += bits[starts + j]
-    first = np.flatnonzero(full)
-    pair = sums[first].astype(np.int32 if half >= 60 else np.uint8) + sums[first + 1]
-    return np.packbits(pair > half, axis=1).view(np.uint64).ravel(), starts[first]
-
-
-def size_class(words: int) -> int:
-    size = 2
-    while size * 2 <= words * 2 // 3:
-        size *= 2
-    return size
-
-
-def shingle_weights(h: np.ndarray) -> Counter:
-    return Counter(runs(h, SHINGLE).tolist()) if len(h) >= SHINGLE else Counter([int(runs(h, len(h))[0])]) if len(h) else Counter()
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard: sum of smaller over sum of larger multiplicities."""
-    both = sum(min(v, b[k]) for k, v in a.items() if k in b)
-    return both / (sum(a.values()) + sum(b.values()) - both) if a and b else 0.0
+    least, most = reach(total)
+    kind = np.searchsorted(kinds, part).clip(max=len(kinds) - 1)
+    pos = np.flatnonzero(kinds[kind] == part)
+    if len(pos) < least:
+        return None
+    starts = np.flatnonzero(pos[least - 1 :] - pos[: len(pos) - least + 1] < most)
+    if not len(starts):
+        return None
+    kind = kind[pos]
+    # A shared shingle counts in a run unless the run has as many of its kind before it as the item has in all.
+    order = np.argsort(kind, kind="stable")
+    rank = np.arange(len(order)) - np.searchsorted(kind[order], kind[order])
+    before = np.full(len(pos), -1)
+    full = np.flatnonzero(rank >= counts[kind[order]])
+    before[order[full]] = order[full - counts[kind[order[full]]]]
+    ends = np.searchsorted(pos, pos[starts] + most)
+    best = None
+    for i, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        both = np.cumsum(before[i:end] < i)
+        length = pos[i:end] - pos[i] + 1
+        s = both / (total + length - both)
+        j = int(s.argmax())
+        if s[j] >= SIMILARITY and (best is None or s[j] > best[0]):
+            best = float(s[j]), int(pos[i]), int(length[j])
+            if best[0] == 1.0:
+                break
+    return best
 
 
 class Items:
-    """The benchmark's windows in block tables."""
+    """The benchmark's rarest shingles in tables, one for each number of words a shingle."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         h, at = word_hashes(pa.array([t or "" for _, t in rows], pa.large_string()), ALNUM)
+        h = mix(h)
         self.ids = [i for i, _ in rows]
-        self.words = [mix(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        self.shingles = [shingle_weights(w) for w in self.words]
-        by_class: dict[int, list[tuple[int, int]]] = {}
-        self.whole: list[int] = []
-        for k, w in enumerate(self.words):
-            if len(w) >= 3:
-                size = size_class(len(w))
-                by_class.setdefault(size, []).extend((k, o) for o in range(min(size // 2, len(w) - size + 1)))
-        self.classes = {}
-        for size, places in sorted(by_class.items()):
-            prints = np.array([simhash(self.words[k], np.array([o]), size)[0] for k, o in places], np.uint64)
-            tables = []
-            for block in range(RADIUS + 1):
-                part = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                tables.append((order, np.searchsorted(part[order], np.arange(65537))))
-            self.classes[size] = (places, prints, tables)
-
-    def near(self, size: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """All (document window, item window) whose fingerprints differ in at most RADIUS bits; a pair may come more than once."""
-        _, own, tables = self.classes[size]
-        for block, (order, first) in enumerate(tables):
-            part = ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            low, n = first[part], first[part + 1] - first[part]
-            some = np.flatnonzero(n)
-            if not len(some):
-                continue
-            window = np.repeat(some, n[some])
-            rank = np.arange(len(window)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
-            item = order[np.repeat(low[some], n[some]) + rank]
-            x = prints[window] ^ own[item]
-            away = sum(_POPCOUNT[((x >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int16) for b in range(4))
-            ok = away <= RADIUS
-            yield from zip(window[ok].tolist(), item[ok].tolist(), strict=True)
+        sizes = np.diff(at)
+        self.shingles = [np.unique(runs(h[a:b], min(b - a, SHINGLE)), return_counts=True) if b - a >= 3 else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        known = [s[0] for s in self.shingles if s]
+        every, held = np.unique(np.concatenate(known), return_counts=True) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        rare: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for k, s in enumerate(self.shingles):
+            if s:
+                kinds, counts = s
+                order = np.argsort(held[np.searchsorted(every, kinds)], kind="stable")
+                total = int(counts.sum())
+                enough = int(np.searchsorted(np.cumsum(counts[order]), total - reach(total)[0] + 1)) + 1
+                rare.setdefault(int(min(sizes[k], SHINGLE)), []).append((kinds[order[:enough]], k))
+        self.tables = {}
+        for width, parts in sorted(rare.items()):
+            keys, owners = np.concatenate([x for x, _ in parts]), np.repeat([k for _, k in parts], [len(x) for x, _ in parts])
+            order = np.argsort(keys, kind="stable")
+            seen = np.zeros(int(LOOK) + 1, bool)
+            seen[keys & LOOK] = True
+            self.tables[width] = keys[order], owners[order], seen
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
-        """(text, item, first word, words, similarity) of verified copies, the best for each text and item."""
+        """(text, item, first word, words, similarity) of copies, the best for each text and item."""
         h, at = word_hashes(column, ALNUM)
         h = mix(h)
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        tried: set[tuple[int, int]] = set()
-        for size, (places, _, _) in self.classes.items():
-            prints, starts = _halves(h, at, size // 2)
-            for window, place in self.near(size, prints):
-                k, offset = places[place]
-                begin = int(starts[window]) - offset
-                if (k, begin) in tried:
-                    continue
-                tried.add((k, begin))
-                text = int(np.searchsorted(at, starts[window], "right")) - 1
-                low, high = int(at[text]), int(at[text + 1])
-                for shift in SHIFTS:
-                    a = max(low, begin + shift)
-                    b = min(high, begin + shift + len(self.words[k]))
-                    s = similarity(self.shingles[k], shingle_weights(h[a:b]))
-                    known = best.get((text, k))
-                    if s >= SIMILARITY and (known is None or (s, -(a - low)) > (known[0], -known[1])):
-                        best[text, k] = (s, a - low, b - a)
-                    if s == 1.0:
-                        break
-        return [(t, self.ids[k], a, n, s) for (t, k), (s, a, n) in sorted(best.items())]
+        out = []
+        for width, (keys, owners, seen) in self.tables.items():
+            if len(h) < width:
+                continue
+            every = runs(h, width)
+            where = np.flatnonzero(seen[every & LOOK])
+            low = np.searchsorted(keys, every[where], "left")
+            n = np.searchsorted(keys, every[where], "right") - low
+            text = np.searchsorted(at, where, "right") - 1
+            n[where + width > at[text + 1]] = 0
+            hit = np.repeat(np.arange(len(where)), n)
+            item = owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(hit))]
+            # Found places by text and item, in order.
+            order = np.lexsort((item, text[hit]))
+            t, item, place = text[hit][order], item[order], where[hit][order]
+            cuts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (item[1:] != item[:-1]), True]) if len(t) else np.zeros(1, np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                k, doc = int(item[a]), int(t[a])
+                kinds, counts = self.shingles[k]
+                most = reach(int(counts.sum()))[1]
+                first = max(int(at[doc]), int(place[a]) - most + 1)
+                last = min(int(at[doc + 1]) - width, int(place[b - 1]) + most - 1)
+                found = best_run(every[first : last + 1], kinds, counts)
+                if found:
+                    s, p, length = found
+                    out.append((doc, k, first + p - int(at[doc]), length + width - 1, s))
+        return [(t, self.ids[k], a, n, s) for t, k, a, n, s in sorted(out)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
