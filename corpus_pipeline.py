@@ -24,8 +24,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; rows without an id stay."""
-    found = staged(jaccard.jaccard_join(docs), "one-of-group")
+    """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest id stays; rows without an id stay."""
+    found = staged(jaccard.jaccard_join(docs, words=5, percent=80), "one-of-group")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
     # Rows that repeat an id and its text are copies too.

@@ -8,11 +8,11 @@ threshold, and the pairs are verified on the sets.
 No task sees all points. Documents with one set are one class, of which only
 the first is compared. Classes meet in blocks: a class goes to the blocks of
 its ``SKETCH`` smallest shingle hashes. Of two sets with similarity s, each of the
-smallest hashes of their union is in both with probability s, so a pair at
-0.85 shares no block with probability 0.15**32. A block of over ``BLOCK`` classes
-is hot, and only classes with over half of their sketch in hot blocks go there:
-of a pair at 0.85 where one has less, the cold halves agree in 0.7 of their hashes or more, and
-share no block with probability below 0.3**16, 5e-9.
+smallest hashes of their union is in both with probability s, so a pair shares
+no block with probability (1 - s)**32: 5e-27 at 0.85, 5e-23 at 0.8. A block of over ``BLOCK`` classes
+is hot, and classes with ``cold_part`` of their sketch in other blocks do not go there:
+such a class misses a partner only if the partner's sketch lacks all of these hashes. It
+lacks each with probability 1 - s at most, and so many with one below ``MISS``.
 
 First each class is held against the first of its blocks, which links the
 copies of one text in linear time. Then the blocks that still hold several
@@ -40,8 +40,8 @@ from tessera.llm.hashing import mix, runs, slices, word_hashes
 
 WORDS, PERCENT = 4, 85
 DIMS, SKETCH, BLOCK, HOT_POINTS, LEAF = 256, 32, 200, 4000, 16
-#: A class with so large a part of its sketch in blocks that are not hot needs no hot block.
-COLD_PART = 0.5
+#: Bound of the probability that a class with ``cold_part`` of its sketch in blocks that are not hot misses a partner.
+MISS = 5e-9
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -120,6 +120,12 @@ class RTree:
         return self.order[at[ok]]
 
 
+def cold_part(percent: int = PERCENT) -> float:
+    """Least part of a sketch that two sets at the threshold differ in with a probability below ``MISS``."""
+    away = 1 - percent / 100
+    return next(m for m in range(SKETCH + 1) if sum(math.comb(SKETCH, k) * away**k * (1 - away) ** (SKETCH - k) for k in range(m, SKETCH + 1)) < MISS) / SKETCH
+
+
 PAIR = "a long, b long"
 
 
@@ -197,7 +203,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     hot = F.col("members") > BLOCK
     # A class with many hot hashes has few of its own: it stands in the middle of its copies, and is first.
     shared = staged(members.groupBy("doc").agg(F.count(F.when(hot, 1)).alias("hot"), F.count(F.lit(1)).alias("met")), "jaccard-hot")
-    members = members.join(shared, "doc").where(~hot | (F.col("k") - F.col("hot") < COLD_PART * F.col("k")))
+    members = members.join(shared, "doc").where(~hot | (F.col("k") - F.col("hot") < cold_part(percent) * F.col("k")))
     members = staged(members.drop("k"), "jaccard-met")
     first = members.groupBy("block").agg(F.max(F.struct("hot", "met", (-F.col("doc")).alias("last"))).alias("m"), F.count(F.lit(1)).alias("here"))
     first = staged(first.where("here > 1").select("block", (-F.col("m.last")).alias("pivot")), "jaccard-first")

@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import corpus_pipeline
 import pyarrow as pa
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, jaccard
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
 
 
 def copies_by_all_runs(item, text):
@@ -46,3 +50,21 @@ def test_decontaminate_finds_edited_copies():
             if s >= 0.8:
                 want[t, i] = s
     assert len(want) > 40 and found == want
+
+
+def test_near_duplicates_take_five_words_at_80_percent(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = []
+    for words, edits in ((200, 4), (100, 2), (200, 9), (60, 2)) * 5:
+        text = [f"w{rng.randrange(5000)}" for _ in range(words)]
+        copy = list(text)
+        for at in rng.sample(range(words), edits):
+            copy[at] = "new"
+        texts += [" ".join(text), " ".join(copy)]
+    sets = [brute.shingles(t, 5) for t in texts]
+    gone = {b for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert 5 < len(gone) < len(texts) // 2
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_group(spark, docs, SF).collect()} == set(range(len(texts))) - gone
+    monkeypatch.setattr(jaccard, "BLOCK", 1)  # every block of two is hot
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_group(spark, docs, SF).collect()} == set(range(len(texts))) - gone
