@@ -4,10 +4,11 @@ A page is a sequence of words and tags. Each kind of token has a weight, the
 log-odds of standing in the content, learned from pages whose markup says where
 the content is; one linear scan finds the contiguous run with the largest sum.
 Elements that are never content (menus, adverts, forms, comments and the like)
-count as one token whatever they hold, and are cut out of the run.
+count as one token whatever they hold, and are cut out of the run; an element that is or
+holds the page's article or main is not one of them.
 
 Cases: null and empty pages, and pages without words, give the empty text.
-Unclosed elements and quotes end where the next tag does. Repeated rows are read each on their
+Unclosed quotes end where the next tag does; unclosed elements where HTML implies it or their parent ends, a script, style, title, textarea or iframe with the page. Repeated rows are read each on their
 own. Null keys are kept. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ SAMPLE = 400
 #: Elements that never hold content, and words in class, id or role that say so of any element.
 CUT = frozenset("script style noscript template head nav footer aside form button select textarea svg iframe object canvas dialog menu title option datalist".split())
 CUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|site-?header|page-?header|masthead|comments?|comment-?list|disqus|replies"
+    r"(?:^|\s|(?<!\bhas)(?<!\bno)(?<!\bnot)(?<!\bwith)(?<!\bwithout)(?<!\bhide)[_-])(?:ad|ads|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|site-?header|page-?header|masthead|comments?|comment-?list|disqus|replies"
     r"|cookie\w*|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|search|complementary|contentinfo|skip-?link)(?:$|[\s_-])",
     re.I,
 )
@@ -40,6 +41,61 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe"))
+_PARSED = ("noscript", "template")
+_BLOCKS = "address article aside blockquote center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split()
+_SCOPE = frozenset("table td th caption object template button".split())
+_TABLE = frozenset("table thead tbody tfoot tr td th caption".split())
+_LISTED = _SCOPE | frozenset("ul ol menu dl section article aside main nav blockquote form fieldset".split())
+#: By opening tag: open elements that it ends, and elements that shield those around them.
+_ENDED: dict[str, list[tuple[frozenset[str], frozenset[str]]]] = {
+    "li": [(frozenset(("li",)), _LISTED)], "dt": [(frozenset(("dt", "dd")), _LISTED)], "dd": [(frozenset(("dt", "dd")), _LISTED)],
+    "option": [(frozenset(("option",)), frozenset(("select", "datalist", "optgroup")))], "optgroup": [(frozenset(("optgroup", "option")), frozenset(("select",)))] * 2,
+    "td": [(frozenset(("td", "th")), frozenset(("table", "tr")))], "th": [(frozenset(("td", "th")), frozenset(("table", "tr")))], "tr": [(frozenset(("tr", "caption")), frozenset(("table",)))],
+} | {x: [(frozenset(("thead", "tbody", "tfoot", "caption")), frozenset(("table",)))] for x in ("thead", "tbody", "tfoot")}
+for _name in _BLOCKS:
+    _ENDED.setdefault(_name, []).append((frozenset(("p",)), _SCOPE))
+
+
+class Open:
+    """The open elements, with where they start."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.starts: list[int] = []
+        self.counts: Counter[str] = Counter()
+
+    def cut(self, k: int) -> None:
+        for name in self.names[k:]:
+            self.counts[name] -= 1
+        del self.names[k:], self.starts[k:]
+
+    def push(self, name: str, start: int) -> None:
+        self.names.append(name)
+        self.starts.append(start)
+        self.counts[name] += 1
+
+    def imply(self, name: str) -> None:
+        """Ends the elements that an opening tag ends."""
+        for ended, shields in _ENDED.get(name, ()):
+            if any(self.counts[x] for x in ended):
+                for k in range(len(self.names) - 1, -1, -1):
+                    if self.names[k] in ended:
+                        self.cut(k)
+                        break
+                    if self.names[k] in shields:
+                        break
+
+    def find(self, name: str) -> int | None:
+        """The element that a closing tag ends; none if it is a stray one."""
+        if not self.counts[name]:
+            return None
+        for k in range(len(self.names) - 1, -1, -1):
+            x = self.names[k]
+            if x == name:
+                return k
+            if name in INLINE and x not in INLINE or x in _SCOPE and name not in _TABLE and name not in ("body", "html") or name == "li" and x in ("ul", "ol"):
+                return None
+        return None
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -50,6 +106,7 @@ def tokens(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     has_main = re.search(r"<(?:article|main)\b", page, re.I) is not None
     inside, at, n = 0, 0, len(page)
+    opened, holders = Open(), _holders(page) if has_main else frozenset()
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -64,13 +121,21 @@ def tokens(page: str) -> list[tuple[str, str]]:
         if name and not closing:
             hints = " ".join(x.strip("\"'") for x in _HINT.findall(attrs)) if "=" in attrs else ""
             cut = name in CUT or name == "header" and not inside or bool(hints and name not in ("body", "html") and CUT_WORDS.search(hints))
-            if cut and name not in VOID and not attrs.endswith("/"):
-                at = _close(page, at, name)
+            cut = cut and m.start() not in holders
+            lasts = name not in VOID and not attrs.endswith("/")
+            opened.imply(name)
+            if lasts:
+                opened.push(name, m.start())
+            if cut and lasts:
+                at = _close(page, at, name, opened)
                 out.append(("cut", ""))
             elif not cut:
                 inside += name in MAIN
                 out.append((f"<{name}", ""))
         elif name:
+            k = opened.find(name)
+            if k is not None:
+                opened.cut(k)
             out.append((f"</{name}", ""))
             inside = max(0, inside - (name in MAIN))
         m = _TAG.search(page, at) if at < n else None
@@ -78,18 +143,68 @@ def tokens(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def _close(page: str, at: int, name: str) -> int:
-    """Where the element that opened before ``at`` ends: at its own closing tag, elements of the same name inside it counted."""
-    if name in _RAW:
-        m = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-        return m.end() if m else len(page)
-    depth = 1
-    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?){re.escape(name)}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.I | re.S).finditer(page, at):
-        if m[2] is not None:
-            depth += -1 if m[2] else 1
-            if not depth:
-                return m.end()
-    return len(page)
+def _raw_end(page: str, at: int, name: str) -> int | None:
+    """Where the text of an element that holds no tags ends; none if its tags count as it is not closed."""
+    m = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+    return m.end() if m else None if name in _PARSED else len(page)
+
+
+def _close(page: str, at: int, name: str, opened: Open) -> int:
+    """Where the element opened last, before ``at``, ends: at its own closing tag, or before the tag that implies its end or ends an element around it."""
+    base = len(opened.names) - 1
+    end = _raw_end(page, at, name) if name in _RAW else None
+    while end is None:
+        m = _TAG.search(page, at)
+        if not m:
+            end = len(page)
+            break
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if name and (m[1] or m[4]):
+            k = opened.find(name)
+            if k is not None and k <= base:
+                end = m.end() if k == base else m.start()
+            elif k is not None:
+                opened.cut(k)
+        elif name:
+            opened.imply(name)
+            if len(opened.names) <= base:
+                end = m.start()
+            elif name in _RAW and (after := _raw_end(page, at, name)):
+                at = after
+            elif name not in VOID and not (m[3] or m[6] or "").endswith("/"):
+                opened.push(name, m.start())
+    opened.cut(base)
+    return end
+
+
+def _holders(page: str) -> frozenset[int]:
+    """Where the page's main and the elements around it start, and its article (the first in the main, or else of the page) and those around that."""
+    opened, at = Open(), 0
+    main, article = frozenset(), frozenset()
+    has_main = re.search(r"<main\b", page, re.I) is not None
+    m = _TAG.search(page)
+    while m:
+        at = m.end()
+        name = (m[2] or m[5] or "").lower()
+        if name and (m[1] or m[4]):
+            k = opened.find(name)
+            if k is not None:
+                opened.cut(k)
+        elif name:
+            opened.imply(name)
+            if name in _RAW and (after := _raw_end(page, at, name)):
+                at = after
+            elif name not in VOID and not (m[3] or m[6] or "").endswith("/"):
+                opened.push(name, m.start())
+                if name == "main" and not main:
+                    main, article = frozenset(opened.starts), frozenset()
+                elif name == "article" and not article:
+                    article = frozenset(opened.starts)
+                if article and (main or not has_main):
+                    break
+        m = _TAG.search(page, at)
+    return main | article
 
 
 #: Where no labelled page has shown a kind of token: words count for the content, tags against it.

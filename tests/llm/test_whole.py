@@ -8,7 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import pyarrow as pa
 
-from tessera.llm import decontaminate, jaccard
+from tessera.llm import decontaminate, jaccard, pages
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,19 @@ def test_near_duplicates_take_five_words_at_80_percent(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_group(spark, docs, SF).collect()} == set(range(len(texts))) - gone
     monkeypatch.setattr(jaccard, "BLOCK", 1)  # every block of two is hot
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_group(spark, docs, SF).collect()} == set(range(len(texts))) - gone
+
+
+def test_pages_end_unclosed_cut_elements():
+    text = lambda page: pages.extract(page, pages.PRIOR)
+    for page, want in (
+        ("<article><p>First words here.<p class=notice>Old news.<p>Second words here.<p>Third words.</article>", "First words here. Second words here. Third words."),
+        ("<article><p>First words here.<ul><li class=share>Share it<li>One more point<li>Two more points</ul><p>Last words.</article>", "First words here. One more point Two more points Last words."),
+        ("<article><div>First words here.<div class=ad><b>Buy</div><p>Second words here.</div><p>Third words.</article>", "First words here. Second words here. Third words."),
+        ("<article><section>First words here.<span class=share>Share it<i>now</section><p>Second words here.</article>", "First words here. Second words here."),
+        ("<article><table><tr><td class=ad>Buy<td>First words here.<tr><td>Second words here.</table></article>", "First words here. Second words here."),
+        ("<article><p>First words here.<div class=ad>Buy<div>this</div>now</div><p>Second words here.</article>", "First words here. Second words here."),
+        ('<div class="has-sidebar"><p>First words here.</p><p>Second words here.</p></div>', "First words here. Second words here."),
+        ('<div class="sidebar left"><article class="post no-comments social"><p>First words here.</p></article></div>', "First words here."),
+        ('<form><main class="widget"><article id="comments"><p>First words here.</p></article><section class=comments><article>Nice words, all of them!</article></section></main></form>', "First words here."),
+    ):
+        assert text(page) == want
