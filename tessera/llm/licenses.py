@@ -110,7 +110,7 @@ def signatures() -> tuple[Signature, ...]:
 
 
 def _rules() -> Column:
-    rows = [{"rank": k, "label": r.label, "keyword": r.keyword, "pattern": rf"(?i)\G(.*?)((?<![^ ]){r.pattern}(?![^ ]))", "weight": r.weight, "base": r.base} for k, r in enumerate(signatures())]
+    rows = [{"rank": k, "label": r.label, "keyword": r.keyword, "pattern": rf"(?is)\G(.*?)((?<![^ ]){r.pattern}(?![^ ]))", "weight": r.weight, "base": r.base} for k, r in enumerate(signatures())]
     return F.from_json(F.lit(json.dumps(rows)), "array<struct<rank:int,label:string,keyword:string,pattern:string,weight:double,base:boolean>>")
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import pyarrow as pa
 
-from tessera.llm import decontaminate, jaccard, pages
+from tessera.llm import decontaminate, jaccard, licenses, pages
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +84,12 @@ def test_pages_end_unclosed_cut_elements():
         ('<form><main class="widget"><article id="comments"><p>First words here.</p></article><section class=comments><article>Nice words, all of them!</article></section></main></form>', "First words here."),
     ):
         assert text(page) == want
+
+
+def test_licenses_after_line_separators(spark):
+    texts = [f"a{c}b cc by {c} all rights{c} reserved, all rights reserved{c} and GNU general public license {c} all rights reserved" for c in "\u0085\u2028\u2029"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.digest(licenses.license_scan(docs)).collect()
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted((r["doc_id"], *(r[c] for c in columns)) for r in rows) == [(i, *brute.licenses(t)) for i, t in enumerate(texts)]
+    assert all("gpl" in r["base_labels"] and r["n_base"] >= 3 for r in rows)
