@@ -10,8 +10,8 @@ shingle; no other run is better than the one left of it when its ends are cut of
 
 Words are runs of letters, digits and characters beyond ASCII, in lower case.
 
-Cases: null and empty texts match nothing, nor do items of under three words. Items of under five words are one
-shingle. Repeated rows are matched each. Null ids are kept. Other columns are ignored.
+Cases: null and empty texts match nothing, nor do items without words. Items of under five words are one
+shingle, which their exact words in order match. Repeated rows are matched each. Null ids are kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ class Items:
         h = mix(h)
         self.ids = [i for i, _ in rows]
         sizes = np.diff(at)
-        self.shingles = [np.unique(runs(h[a:b], min(b - a, SHINGLE)), return_counts=True) if b - a >= 3 else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        self.shingles = [np.unique(runs(h[a:b], min(b - a, SHINGLE)), return_counts=True) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         known = [s[0] for s in self.shingles if s]
         every, held = np.unique(np.concatenate(known), return_counts=True) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         rare: dict[int, list[tuple[np.ndarray, int]]] = {}

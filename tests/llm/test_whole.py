@@ -93,3 +93,9 @@ def test_licenses_after_line_separators(spark):
     columns = ("n_words", "n_base", "first_word", "last_word", "base_labels")
     assert sorted((r["doc_id"], *(r[c] for c in columns)) for r in rows) == [(i, *brute.licenses(t)) for i, t in enumerate(texts)]
     assert all("gpl" in r["base_labels"] and r["n_base"] >= 3 for r in rows)
+
+
+def test_decontaminate_takes_items_of_one_and_two_words():
+    known = decontaminate.Items([(1, "Alpha"), (2, "beta, gamma"), (3, " ."), (4, None), (5, "one two three")])
+    found = known.matches(pa.array(["x ALPHA beta", "y beta gamma alpha", "beta", "gamma", "one two. Three", ""]))
+    assert found == [(0, 1, 1, 1, 1.0), (1, 1, 3, 1, 1.0), (1, 2, 1, 2, 1.0), (4, 5, 0, 3, 1.0)]
