@@ -84,7 +84,7 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
+def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """Parts of a batch with about ``limit`` bytes of text each; a longer text is a part of its own."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))

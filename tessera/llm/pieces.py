@@ -4,8 +4,8 @@ Forward Viterbi scores of the piece lattice are exact heuristics for a backward
 A* search, which yields segmentations from best to worst. No piece holds a word
 boundary mark behind another character, so the lattice falls apart into units
 (marks and the word behind them), and the N best of a text are the N smallest
-sums of the units' losses. ``Units`` searches the different units of a few
-megabytes of texts together; nothing is kept from one such slice to the next.
+sums of the units' losses. ``Units`` searches the different units of a
+megabyte of texts together; nothing is kept from one such slice to the next.
 
 Scores are those of the model file's pieces. A character without a piece is
 spelt in byte pieces, each ten below the lowest score. Of equal scores,
@@ -14,7 +14,9 @@ the one found first stands first; the search is deterministic.
 Cases: null and empty texts have no pieces and one segmentation of score 0.
 Repeated rows are encoded each on their own. Null ids are kept. A text that
 holds the boundary mark itself decodes to a space there, and says so in
-``round_trip``. Other columns are ignored.
+``round_trip``, which compares the decoded ids with the text. A very long text
+is searched a chunk of its units at a time; a unit, such as a blob without
+spaces, stays whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ from tessera.llm.hashing import slices
 
 MARK = "▁"
 NBEST = 3
+#: Bytes of texts that a worker takes at a time, and of their units that are searched together.
+CHUNK = 1 << 20
 
 _NO = object()
 
@@ -227,15 +233,6 @@ class Units:
         self.ids[self.ids < 0] = self.model.byte_id[self.raw[spread(self.p[edge[odd]], size[odd])]]
         self.ids_at = np.r_[0, np.cumsum(np.bincount(unit, size, len(self.at) - 1).astype(np.int64))]
 
-    def same(self) -> np.ndarray:
-        """Whether the best pieces of each unit decode to it."""
-        size = self.model.spelt_size[self.ids]
-        ends = np.r_[0, np.cumsum(size)][self.ids_at]
-        if not np.array_equal(ends, self.at):
-            return np.array([self.model.spelt[spread(self.model.spelt_at[i], self.model.spelt_size[i])].tobytes() == self.raw[a:b].tobytes() for i, a, b in zip(np.split(self.ids, self.ids_at[1:-1]), self.at[:-1], self.at[1:], strict=True)], bool)
-        out = self.model.spelt[spread(self.model.spelt_at[self.ids], size)] == self.raw
-        return np.logical_and.reduceat(out, self.at[:-1]) if len(self.at) > 1 else np.zeros(0, bool)
-
 
 def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(units of all texts in order, their marks as spaces; offsets: text k has units offsets[k] to offsets[k + 1])."""
@@ -256,32 +253,56 @@ def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return units, np.searchsorted(at, ends)
 
 
-def searched(model: Pieces, column: pa.Array, n: int) -> tuple[Units, np.ndarray, np.ndarray, np.ndarray]:
-    """(lattices of the different units, their scores, which of them stand in the texts, the texts' offsets there)."""
+@dataclass
+class Found:
+    """The different units of some texts: N best scores, pieces of the best; and where the units stand."""
+
+    scores: np.ndarray
+    ids: np.ndarray
+    ids_at: np.ndarray
+    which: np.ndarray
+    offsets: np.ndarray
+
+    def encoded(self) -> tuple[np.ndarray, np.ndarray]:
+        """(best ids of all texts, their offsets)"""
+        size = np.diff(self.ids_at)[self.which]
+        return self.ids[spread(self.ids_at[self.which], size)], np.r_[0, np.cumsum(size)][self.offsets]
+
+
+def searched(model: Pieces, column: pa.Array, n: int) -> Found:
+    """Searches the lattices of at most about ``CHUNK`` bytes of units at a time, however long the texts are."""
     units, offsets = cut(column)
     coded = pc.dictionary_encode(units)
     kinds, which = coded.dictionary, coded.indices.to_numpy()
     at = np.frombuffer(kinds.buffers()[1], np.int64, len(kinds) + 1) if len(kinds) else np.zeros(1, np.int64)
     raw = np.frombuffer(kinds.buffers()[2], np.uint8, int(at[-1])) if len(kinds) else np.zeros(0, np.uint8)
-    lattices = Units(model, raw, at, n)
-    return lattices, lattices.search(), which, offsets
-
-
-def encoded(lattices: Units, which: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(best ids of all texts, their offsets)"""
-    size = np.diff(lattices.ids_at)[which]
-    ids = lattices.ids[spread(lattices.ids_at[which], size)]
-    return ids, np.r_[0, np.cumsum(size)][offsets]
+    scores, ids, sizes, start = [np.zeros((0, n))], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    while start < len(kinds):
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + CHUNK, "right")) - 1)
+        lattices = Units(model, raw[at[start] : at[stop]], at[start : stop + 1] - at[start], n)
+        scores.append(lattices.search())
+        ids.append(lattices.ids)
+        sizes.append(np.diff(lattices.ids_at))
+        start = stop
+    return Found(np.concatenate(scores), np.concatenate(ids), np.cumsum(np.concatenate(sizes)), which, offsets)
+
+
+def decoded(model: Pieces, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Texts of the ids between the offsets. Control pieces and ids outside the vocabulary are nothing; bytes that are no UTF-8 become U+FFFD."""
+    valid = (ids >= 0) & (ids < len(model.spelt_size))
+    ids = np.where(valid, ids, 0)
+    size = np.where(valid, model.spelt_size[ids], 0)
+    raw = model.spelt[spread(model.spelt_at[ids], size)].tobytes()
+    ends = np.r_[0, np.cumsum(size)][at].tolist()
+    return pa.array([raw[a + (raw[a : a + 1] == b" ") : b].decode("utf-8", "replace") if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
 
 def digests(model: Pieces, column: pa.Array, n: int) -> dict[str, pa.Array]:
-    lattices, scores, which, offsets = searched(model, column, n)
-    ids, at = encoded(lattices, which, offsets)
-    count = len(column)
-    owner = np.repeat(np.arange(count), np.diff(offsets))
+    found = searched(model, column, n)
+    ids, at = found.encoded()
+    which, scores, count = found.which, found.scores, len(column)
+    owner = np.repeat(np.arange(count), np.diff(found.offsets))
     best = np.bincount(owner, scores[which, 0], count)
-    odd = np.bincount(owner, ~lattices.same()[which], count) > 0
-    marks = pc.match_substring(column, MARK).to_numpy(zero_copy_only=False)
     # Of a text only the n - 1 units whose second best costs least can matter.
     losses = scores[:, :1] - scores
     near = np.flatnonzero(np.isfinite(losses[which, 1])) if n > 1 else np.zeros(0, np.int64)
@@ -293,7 +314,8 @@ def digests(model: Pieces, column: pa.Array, n: int) -> dict[str, pa.Array]:
         sums.append([float(best[k]) - x for x, _ in model._losses([tuple(x for x in r if x < np.inf) for r in rows], n)])
     whole = ids.astype("<u4").tobytes()
     shas = [hashlib.sha256(whole[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return {"n_pieces": pa.array(np.diff(at), pa.int64()), "best_score": pa.array(best, pa.float64()), "nbest_scores": pa.array(sums, pa.list_(pa.float64())), "ids_sha256": pa.array(shas, pa.string()), "round_trip": pa.array(~(odd | marks))}
+    same = pc.equal(decoded(model, ids, at), column.cast(pa.string()))
+    return {"n_pieces": pa.array(np.diff(at), pa.int64()), "best_score": pa.array(best, pa.float64()), "nbest_scores": pa.array(sums, pa.list_(pa.float64())), "ids_sha256": pa.array(shas, pa.string()), "round_trip": same}
 
 
 class Pieces:
@@ -314,19 +336,23 @@ class Pieces:
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece holds a boundary mark inside; units are not independent")
         self.weight = {p: self.scores[i] for p, i in self.ids.items()}
-        # Every beginning of a piece: its score if it is one, else None.
-        heads: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
-        heads.update(self.weight)
-        self.starts = heads.get
         self.byte_score = min(self.scores[i] for i in plain if self.scores[i] > -1e8) - 10.0
         self.trie = Trie({p.replace(MARK, " ").encode(): i for p, i in self.ids.items()})
         self.score = np.array(self.scores)
         self.byte_id = np.array([self.bytes.get(b, 0) for b in range(256)])
-        spelt = [bytes([self.value[i]]) if i in self.value else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        shown = set(plain)
+        spelt = [bytes([self.value[i]]) if i in self.value else p.replace(MARK, " ").encode() if i in shown else b"" for i, p in enumerate(self.pieces)]
         self.spelt_size = np.array([len(x) for x in spelt])
         self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
         self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
 
+    @cached_property
+    def starts(self):
+        """Every beginning of a piece: its score if it is one, else None. Only the plain search needs it."""
+        heads: dict[str, float | None] = {p[:k]: None for p in self.ids for k in range(1, len(p))}
+        heads.update(self.weight)
+        return heads.get
+
     def search(self, s: str, n: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one unit, best first.
 
@@ -456,7 +482,7 @@ def piece_digest(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, nbest)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", CHUNK):
                 yield pa.record_batch({"doc_id": part.column(0)} | digests(model, part.column(1), nbest))
 
     rows = texts(docs, id_col, text_col)
@@ -469,11 +495,25 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                lattices, _, which, offsets = searched(model, part.column(1), 1)
-                found, ends = encoded(lattices, which, offsets)
+            for part in slices(batch, "text", CHUNK):
+                found, ends = searched(model, part.column(1), 1).encoded()
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found))
                 yield pa.record_batch({"doc_id": part.column(0), "ids": ids, "n_pieces": pa.array(np.diff(ends).astype(np.int64))})
 
     rows = texts(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_pieces long")
+
+
+def decode_table(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, text) per row of piece ids: the inverse of ``encode_table``. Null ids give the empty text, other columns are ignored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for batch in batches:
+            lists = batch.column(1).cast(pa.list_(pa.int64()))
+            ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            at = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+            yield pa.record_batch({"doc_id": batch.column(0), "text": decoded(model, ids, at)})
+
+    rows = rows.select(rows[id_col].alias("doc_id"), rows[ids_col].alias("ids"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
