@@ -8,7 +8,7 @@ in the order of rules, are suppressed. DataFrame functions only.
 
 Cases: null and empty texts have no words and no detections. Repeated rows are
 scanned each on their own. Null ids are kept. An empty table gives an empty
-result. Other columns are ignored.
+result. Base phrases are always kept and suppress nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,16 +126,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_words, found) per row; found: surviving and base detections (start, end, label, weight, base) by start, words from 0."""
     rows = texts(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
     rows = rows.withColumn("words", F.array_remove(F.split("text", SPLIT), "")).withColumn("n_words", F.size("words").cast("long"))
-    rows = rows.withColumn("gated", F.col("text").rlike(gate()))
-    none = "cast(null as array<struct<start:bigint,`end`:bigint,label:string,weight:double,base:boolean>>) as found"
-    plain = rows.where("not gated").selectExpr("doc_id", "n_words", none)
-
-    asked = rows.where("gated").withColumn("norm", F.array_join("words", " ")).withColumn("low", F.lower("norm"))
+    # One pass: what the gate keeps out goes on as a row without rules.
+    rows = rows.withColumn("norm", F.when(F.col("text").rlike(gate()), F.array_join("words", " "))).withColumn("low", F.lower("norm"))
     # The text is bound as a lambda variable, so that it is made once and not for every keyword.
     keywords = F.split(F.lit(",".join(sorted({r.keyword for r in signatures()}))), ",")
-    asked = asked.withColumn("held", F.flatten(F.transform(F.array("low"), lambda low: F.filter(keywords, lambda k: F.contains(low, k)))))
+    held = F.flatten(F.transform(F.array("low"), lambda low: F.filter(keywords, lambda k: F.contains(low, k))))
+    asked = rows.withColumn("held", F.when(F.col("norm").isNotNull(), held))
     wanted = F.flatten(F.transform(F.array("held"), lambda held: F.filter(_rules(), lambda r: F.array_contains(held, r["keyword"]))))
-    asked = asked.select("rid", "doc_id", "n_words", "norm", F.explode_outer(wanted).alias("r"))
+    asked = asked.select("rid", "doc_id", "n_words", "norm", F.explode_outer(F.when(F.col("held").isNotNull(), wanted)).alias("r"))
     spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
     get = lambda k: F.regexp_extract_all("norm", F.col("r.pattern"), F.lit(k))
     asked = asked.withColumn("m", F.transform(F.arrays_zip(get(1).alias("gap"), get(2).alias("hit")), lambda z: F.struct(spaces(z["gap"]).alias("gap"), spaces(z["hit"]).alias("hit"))))
@@ -143,13 +141,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Words before a match: the spaces before it, in the gaps and matches so far.
     run = F.sum(F.col("m.gap") + F.col("m.hit")).over(W.partitionBy("rid", "r.rank").orderBy("k"))
     hits = hits.withColumn("end", run).withColumn("start", F.col("end") - F.col("m.hit"))
-    outer = F.max(F.when(F.col("m").isNotNull(), F.col("end"))).over(
-        W.partitionBy("rid").orderBy(F.col("start"), F.col("end").desc(), F.col("r.rank").desc()).rowsBetween(W.unboundedPreceding, -1)
+    # The furthest end among the detections that start before, or there and end later, or have the same interval and an earlier rule. Base phrases suppress nothing.
+    outer = F.max(F.when(F.col("m").isNotNull() & ~F.col("r.base"), F.col("end"))).over(
+        W.partitionBy("rid").orderBy(F.col("start"), F.col("end").desc(), F.col("r.rank")).rowsBetween(W.unboundedPreceding, -1)
     )
     hits = hits.withColumn("keep", F.col("r.base") | F.coalesce(outer < F.col("end"), F.lit(True)))
     one = F.when(F.col("m").isNotNull() & F.col("keep"), F.struct("start", "end", F.col("r.label").alias("label"), F.col("r.weight").alias("weight"), F.col("r.base").alias("base")))
     found = hits.groupBy("rid", "doc_id", "n_words").agg(F.sort_array(F.collect_list(one)).alias("found"))
-    return plain.unionByName(found.select("doc_id", "n_words", "found"))
+    return found.select("doc_id", "n_words", "found")
 
 
 def digest(found: DataFrame) -> DataFrame:

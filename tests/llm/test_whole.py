@@ -95,6 +95,19 @@ def test_licenses_after_line_separators(spark):
     assert all("gpl" in r["base_labels"] and r["n_base"] >= 3 for r in rows)
 
 
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(3)
+    parts = ["SPDX-License-Identifier: GPL-3.0", "GNU General Public License version 3 or later", "the MIT License", "CC BY-SA 4.0", "all rights reserved", "BSD 3-clause license", "Apache License 2.0"]
+    parts += ["licensed under the Apache License version 2.0", "cc by nc nd 2.5 unported", "Creative Commons Attribution 4.0 International License", "lgpl v2 1", "plain words", "public domain", "Copyright (c) 2019 2020", "GPL"]
+    texts = [None, "", parts[0]] + [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(60)] + [" ".join(parts) * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in licenses.license_scan(docs).collect()}
+    rules = licenses.signatures()
+    assert out == {i: brute.license_detections(t, rules) for i, t in enumerate(texts)}
+    # Of detections with one interval the earlier rule survives.
+    assert [(x[2], x[3]) for x in out[2]] == [("gpl-3.0", 1.0)]
+
+
 def test_decontaminate_takes_items_of_one_and_two_words():
     known = decontaminate.Items([(1, "Alpha"), (2, "beta, gamma"), (3, " ."), (4, None), (5, "one two three")])
     found = known.matches(pa.array(["x ALPHA beta", "y beta gamma alpha", "beta", "gamma", "one two. Three", ""]))
