@@ -1,15 +1,18 @@
 """Main text of web pages: the maximum-scoring run of tokens.
 
-A page is a sequence of words and tags. Each kind of token has a weight, the
-log-odds of standing in the content, learned from pages whose markup says where
-the content is; one linear scan finds the contiguous run with the largest sum.
-Elements that are never content (menus, adverts, forms, comments and the like)
-count as one token whatever they hold, and are cut out of the run; an element that is or
-holds the page's article or main is not one of them.
+A page is a sequence of words and tags. Words score positive and tags negative;
+how much, each kind of tag by its own, is learned from pages whose markup says
+where the content is: the log-odds of standing there. One linear scan finds the
+contiguous run with the largest sum, which is the content region. Where its ends
+lie within an article or main, the region grows to that element's ends. Elements that never are content (menus, adverts,
+forms, comments and the like) are one negative token each, whatever they hold, and are
+cut out of the region; an element that is or holds the page's article or main is not one
+of them. A page that has nothing else is read again with fewer of these exclusions: first without those
+by class, then only without what no browser shows.
 
 Cases: null and empty pages, and pages without words, give the empty text.
-Unclosed quotes end where the next tag does; unclosed elements where HTML implies it or their parent ends, a script, style, title, textarea or iframe with the page. Repeated rows are read each on their
-own. Null keys are kept. Other columns are ignored.
+Unclosed quotes end where the next tag does; unclosed elements where HTML implies it or their parent ends, a script, style, title, textarea or iframe with the page. Of runs with one sum the first is taken. Repeated rows are read each on their
+own. Null keys are kept. Other columns are ignored, also such as are named like the result's. A page is held whole by one task, in time linear in its length but for unclosed elements.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from tessera.llm.common import sampled
 
 #: Pages that weights are learned from, at most, by hash of the id.
 SAMPLE = 400
-#: Elements that never hold content, and words in class, id or role that say so of any element.
+#: Elements that browsers do not show as text, elements that never hold content, and words in class, id or role that say so of any element.
+HIDDEN = frozenset("script style noscript template head textarea svg iframe object canvas title datalist".split())
 CUT = frozenset("script style noscript template head nav footer aside form button select textarea svg iframe object canvas dialog menu title option datalist".split())
 CUT_WORDS = re.compile(
     r"(?:^|\s|(?<!\bhas)(?<!\bno)(?<!\bnot)(?<!\bwith)(?<!\bwithout)(?<!\bhide)[_-])(?:ad|ads|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|site-?header|page-?header|masthead|comments?|comment-?list|disqus|replies"
@@ -98,19 +102,20 @@ class Open:
         return None
 
 
-def tokens(page: str) -> list[tuple[str, str]]:
-    """(kind, text): kind is 'text' or 'text-out', a tag such as '<p' or '</p', or 'cut' for a whole element that never is content.
+#: What is cut out: by class as well, by element only, or only what is not shown.
+BY_CLASS, BY_ELEMENT, UNSHOWN = 2, 1, 0
 
-    Text outside the main element of a page that has one is 'text-out'.
-    """
+
+def tokens(page: str, level: int = BY_CLASS) -> list[tuple[str, str]]:
+    """(kind, text): kind is 'text', a tag such as '<p' or '</p', or 'cut' for a whole element that never is content."""
     out: list[tuple[str, str]] = []
     has_main = re.search(r"<(?:article|main)\b", page, re.I) is not None
     inside, at, n = 0, 0, len(page)
-    opened, holders = Open(), _holders(page) if has_main else frozenset()
+    opened, holders = Open(), _holders(page) if has_main and level else frozenset()
 
     def text(a: int, b: int) -> None:
         if b > a:
-            out.append(("text" if inside or not has_main else "text-out", entities.unescape(page[a:b])))
+            out.append(("text", entities.unescape(page[a:b])))
 
     m = _TAG.search(page, at)
     while m:
@@ -119,8 +124,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
         name = (m[2] or m[5] or "").lower()
         closing, attrs = bool(m[1] or m[4]), m[3] or m[6] or ""
         if name and not closing:
-            hints = " ".join(x.strip("\"'") for x in _HINT.findall(attrs)) if "=" in attrs else ""
-            cut = name in CUT or name == "header" and not inside or bool(hints and name not in ("body", "html") and CUT_WORDS.search(hints))
+            cut = name in HIDDEN or level >= BY_ELEMENT and (name in CUT or name == "header" and not inside)
+            if not cut and level >= BY_CLASS and "=" in attrs and name not in ("body", "html"):
+                cut = CUT_WORDS.search(" ".join(x.strip("\"'") for x in _HINT.findall(attrs))) is not None
             cut = cut and m.start() not in holders
             lasts = name not in VOID and not attrs.endswith("/")
             opened.imply(name)
@@ -207,53 +213,78 @@ def _holders(page: str) -> frozenset[int]:
     return main | article
 
 
-#: Where no labelled page has shown a kind of token: words count for the content, tags against it.
-PRIOR = {"text": 1.0, "text-out": -1.0, "cut": -4.0, "<article": 6.0, "</article": 6.0, "<main": 6.0, "</main": 6.0, "<p": 0.2, "</p": 0.2, "<br": 0.0, "<h1": 0.5, "</h1": 0.5}
+#: Weights where no labelled page has shown a kind of token; of words and cut elements, and of any other tag.
+PRIOR = {"text": 1.0, "cut": -4.0, "<p": -0.2, "</p": -0.2, "<br": -0.1, "<a": -1.5, "</a": -1.5, "<li": -1.0, "</li": -1.0} | {f"{x}{name}": -0.1 for x in ("<", "</") for name in ("b", "i", "em", "strong", "span", "h1", "h2", "h3")}
 OTHER_TAG = -0.5
+#: Least and largest sizes of learned weights: a word never counts against the content, a tag never for it.
+LEAST_WORD, LEAST_TAG, MOST = 0.5, 0.05, 3.0
+
+
+def _mains(seq: list[tuple[str, str]]) -> list[tuple[int, int]]:
+    """From opening to closing tag, the outermost article and main elements."""
+    out, depth, start = [], 0, 0
+    for k, (kind, _) in enumerate(seq):
+        if kind in ("<article", "<main"):
+            start = start if depth else k
+            depth += 1
+        elif kind in ("</article", "</main") and depth:
+            depth -= 1
+            if not depth:
+                out.append((start, k + 1))
+    return [*out, (start, len(seq))] if depth else out
 
 
 def learn(pages: list[str]) -> dict[str, float]:
-    """Weights from pages with one main element: tokens from its start to its end are content."""
+    """Weights from pages with a main element: what stands in it is content, all the rest of the page is not."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        seq, depth = tokens(page), 0
-        if sum(k in ("<article", "<main") for k, _ in seq) != 1:
+        seq = tokens(page, UNSHOWN)
+        spans = _mains(seq)
+        if not spans:
             continue
-        for kind, text in seq:
-            depth += kind in ("<article", "<main")
-            (inside if depth else outside)[kind] += max(1, len(text.split())) if kind.startswith("text") else 1
-            depth -= kind in ("</article", "</main")
-    if not inside:
+        within = [False] * len(seq)
+        for a, b in spans:
+            within[a:b] = [True] * (b - a)
+        for (kind, text), content in zip(seq, within, strict=True):
+            (inside if content else outside)[kind] += len(text.split()) if kind == "text" else 1
+    if not inside or not outside:
         return dict(PRIOR)
-    a, b = sum(inside.values()), sum(outside.values()) or 1
-    odds = {k: math.log((inside[k] + 0.5) / (a + 1) / ((outside[k] + 0.5) / (b + 1))) for k in inside.keys() | outside.keys()}
-    # Learned odds are kept on the side of zero and within the size that the prior has for the anchors.
-    weights = {k: max(-6.0, min(6.0, v)) for k, v in odds.items()}
-    weights["text"] = max(0.5, weights.get("text", 1.0))
-    weights["cut"] = min(-1.0, weights.get("cut", -4.0))
-    return PRIOR | weights
+    a, b = sum(inside.values()), sum(outside.values())
+    odds = {k: math.log((inside[k] + 0.5) / (a + 1) / ((outside[k] + 0.5) / (b + 1))) for k in inside.keys() | outside.keys() if k != "cut"}
+    weights = {k: max(-MOST, min(-LEAST_TAG, v)) for k, v in odds.items() if k != "text"}
+    return PRIOR | weights | {"text": min(MOST, max(LEAST_WORD, odds.get("text", 1.0)))}
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    """The text of the best run; of runs with one sum, the first."""
-    seq = tokens(page)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous run with the largest sum, in one scan; of equal ones, the first. Empty if no sum is positive."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
-    for k, (kind, text) in enumerate(seq):
-        size = len(text.split()) if kind.startswith("text") else 1
-        total += weights.get(kind, OTHER_TAG) * size
+    for k, x in enumerate(scores):
+        total += x
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
             best, found = total, (start, k + 1)
-    out = [text if kind.startswith("text") else " " if kind == "cut" or kind.lstrip("</") not in INLINE else "" for kind, text in seq[slice(*found)]]
+    return found
+
+
+def extract(page: str, weights: dict[str, float]) -> str:
+    """The text of the content region."""
+    for level in (BY_CLASS, BY_ELEMENT, UNSHOWN):
+        seq = tokens(page, level)
+        a, b = best_run([weights["text"] * len(text.split()) if kind == "text" else weights.get(kind, OTHER_TAG) for kind, text in seq])
+        if a < b:
+            break
+    for start, end in _mains(seq) if a < b else ():
+        a, b = start if start <= a < end else a, end if start < b <= end else b
+    out = [text if kind == "text" else " " if kind == "cut" or kind.lstrip("</") not in INLINE else "" for kind, text in seq[a:b]]
     return " ".join("".join(out).split())
 
 
 def main_text(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """(page_id, url, text, n_chars) for every row."""
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
-    labelled = rows.where(F.col("html").rlike(r"(?i)<(?:article|main)\b"))
-    sample = sampled(labelled.select("page_id", "html"), "page_id", SAMPLE, rows.count()).collect()
+    labelled = rows.where(F.col("html").rlike(r"(?i)<(?:article|main)\b")).select("page_id", "html")
+    sample = sampled(labelled, "page_id", SAMPLE, labelled.count()).collect()
     weights = learn([r["html"] for r in sample])
 
     @F.pandas_udf("string")
