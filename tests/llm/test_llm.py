@@ -165,29 +165,6 @@ def test_language_model(docs, rows, empty):
     assert lm.lm_scores(empty).count() == 0
 
 
-def test_jaccard(docs, rows, empty, monkeypatch):
-    want = brute.jaccard_components(rows)
-    expected = sorted(((i, *want[i]) for i, _ in rows), key=repr)
-    assert got(jaccard.jaccard_join(docs), "doc_id", "n_shingles", "component_id") == expected
-    monkeypatch.setattr(jaccard, "BLOCK", 2)  # every larger block is hot
-    monkeypatch.setattr(jaccard, "HOT_POINTS", 2)
-    assert got(jaccard.jaccard_join(docs), "doc_id", "n_shingles", "component_id") == expected
-    assert jaccard.jaccard_join(empty).count() == 0
-
-
-def test_rtree():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    vecs = rng.poisson(3, (300, 16)).astype(np.int32)
-    vecs[150:] = vecs[:150] + (rng.random((150, 16)) < 0.1)
-    sizes = vecs.sum(axis=1).astype(np.int64)
-    tree = jaccard.RTree(vecs, sizes)
-    for k in range(0, 300, 7):
-        plain = [j for j in range(300) if np.minimum(vecs[j], vecs[k]).sum() >= jaccard.needed(int(sizes[j]), int(sizes[k]))]
-        assert set(plain) <= set(tree.query(vecs[k], int(sizes[k])).tolist())
-
-
 def test_decontaminate(spark, empty):
     items = stored("benchmark")
     found = {(r["doc_id"], r["item_id"]) for r in registry.op9_decontaminate(spark, SF).collect()}
