@@ -1,10 +1,13 @@
 """Language-model scores by a weighted backoff automaton.
 
-Bigrams of the training documents are arcs between states (the last word);
-a state's failure arc leads to the unigram state with weight
-k / (c(h) + k). With the arcs' weights (c(hw) + k p(w)) / (c(h) + k) each state is
-a proper distribution. A text is scored in one pass from left to right that
-carries the state and adds up log10 weights.
+The states are the root, the start and the words of the training documents. A state has an
+arc for each word that follows it in training, with the discounted weight
+c(hw) / (c(h) + k), to that word's state; all that it has no arc for goes by its failure arc, with
+the mass k / (c(h) + k) that the discount leaves, to the root, which has an arc for every word, also
+unknown ones, with a smoothed unigram weight. So a state's weights sum to one at most; what its own arcs and the root
+both offer is not counted twice. A text is scored in one traversal from left to right that carries
+the state and adds up log10 weights. Texts go side by side; a long one goes in segments of
+``SEGMENT`` tokens, each of which starts in the state that the token before it leads to.
 
 No machine holds the whole automaton. Documents are dealt into groups; each
 group sends its n-grams' own counts to the buckets they hash to, a bucket sends
@@ -13,14 +16,14 @@ that its texts can reach, with exact counts of the whole corpus.
 
 Cases: a null or empty text is its end token alone. Without training documents
 all words are unknown and scores come from the smoothed unigram alone.
-Repeated rows count and are scored each. Null ids train. Other columns are ignored.
+Repeated rows count and are scored each. Null ids train. An empty table gives an empty result. A very long text is
+in one group, which then holds it whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import remainder, staged, texts
 from tessera.llm.hashing import mix, slices, word_hashes
 
-#: Mass of the unigram distribution in each state; documents a group; documents' n-grams a bucket.
-MASS, GROUP_DOCS, BUCKET_DOCS = 8.0, 3000, 4000
+#: Mass of a state's failure arc; tokens of a segment; bytes of text a group; bytes of text whose n-grams fill a bucket.
+MASS, SEGMENT, GROUP_BYTES, BUCKET_BYTES = 8.0, 256, 8 << 20, 11 << 20
 END, START = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 _ONE = np.uint64(1)
 
@@ -94,32 +97,56 @@ def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-@dataclass
 class Automaton:
-    """The part of the model that one group needs: sorted keys with their counts in all training tokens."""
+    """The part of the model that one group's texts can reach: states, arcs and failure arcs with their log10 weights.
 
-    keys: np.ndarray
-    counts: np.ndarray
-    tokens: int
-    vocabulary: int
-    starts: int
+    ``keys``, ``counts``: the group's n-grams, sorted, and how often all training documents have them.
+    """
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        return self.counts[np.searchsorted(self.keys, keys)] if len(self.keys) else np.zeros(len(keys), np.int64)
+    ROOT, START = -1, -2
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int, starts: int):
+        single = (keys & _ONE) == _ONE
+        self.words, self.arcs = keys[single], keys[~single]
+        self.known = counts[single]
+        self.root = np.log10((self.known + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
+        self.arc_count = counts[~single]
+        # The last two are the weights at the start of a text and at the root, which has no failure arc.
+        self.size = np.r_[self.known, starts, 0].astype(np.float64)
+        self.fail = np.log10(MASS / (self.size + MASS))
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """Per text: tokens, known tokens, base score, score. Arc weights are looked up for all steps at once."""
+        """Per text: tokens, known tokens, base score, score."""
         tokens, prev, at = _stream(column)
-        c = self.of(_uni(tokens)).astype(np.float64)
-        p = (c + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
-        state = np.where(prev == START, float(self.starts), 0.0)
-        inner = np.flatnonzero(prev != START)
-        state[inner] = c[inner - 1]  # a state's count is its word's own
-        arc = self.of(_bi(prev, tokens)).astype(np.float64)
-        fail = np.log10(MASS / (state + MASS)) + np.log10(p)
-        step = np.where(arc > 0, np.log10((arc + MASS * p) / (state + MASS)), fail)
+        word = np.searchsorted(self.words, _uni(tokens)) if len(tokens) else np.zeros(0, np.int64)
+        arc = np.searchsorted(self.arcs, _bi(prev, tokens)) if len(tokens) else np.zeros(0, np.int64)
+        lengths = np.diff(at)
+        parts = -(-lengths // SEGMENT)
+        text = np.repeat(np.arange(len(lengths)), parts)
+        first = at[:-1][text] + SEGMENT * (np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts))
+        stop = np.minimum(first + SEGMENT, at[1:][text])
+        # The longest first, so that those still under way stand in front.
+        order = np.argsort(first - stop, kind="stable")
+        text, first, stop = text[order], first[order], stop[order]
+        state = np.where(prev[first] == START, self.START, self._entered(word[np.maximum(first - 1, 0)])) if len(first) else first
+        total = np.zeros(len(first))
+        for step in range(int((stop - first).max(initial=0))):
+            live = int(np.searchsorted(first - stop, -step))
+            total[:live], state[:live] = self._step(state[:live], word[first[:live] + step], arc[first[:live] + step], total[:live])
         add = lambda x: np.add.reduceat(x, at[:-1])
-        return np.diff(at), add((c > 0).astype(np.int64)), add(np.log10(p)), add(step)
+        return lengths, add((self.known[word] > 0).astype(np.int64)), add(self.root[word]), np.bincount(text, total, len(lengths))
+
+    def _entered(self, word: np.ndarray) -> np.ndarray:
+        """The state of a word; words without training tokens have none and lead to the root."""
+        return np.where(self.known[word] > 0, word, self.ROOT)
+
+    def _step(self, state: np.ndarray, word: np.ndarray, arc: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One token on: by the state's arc where it has one, else by its failure arc and the root's arc."""
+        found = (self.arc_count[arc] > 0) & (state != self.ROOT)
+        weight = np.empty(len(state))
+        weight[found] = np.log10(self.arc_count[arc[found]] / (self.size[state[found]] + MASS))
+        weight[~found] = self.fail[state[~found]] + self.root[word[~found]]
+        return total + weight, self._entered(word)
 
 
 def _grouped(rows: DataFrame, groups: int) -> DataFrame:
@@ -130,8 +157,8 @@ def _grouped(rows: DataFrame, groups: int) -> DataFrame:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     rows = texts(docs, id_col, text_col)
-    n = rows.count()
-    groups, buckets = -(-n // GROUP_DOCS) or 1, -(-n // BUCKET_DOCS) or 1
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    groups, buckets = -(-size // GROUP_BYTES) or 1, -(-size // BUCKET_BYTES) or 1
     dealt = _grouped(rows, groups)
 
     def counted(table: pa.Table) -> pa.Table:
@@ -162,7 +189,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def scored(table: pa.Table, news: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
+            return pa.table({n: pa.array([], t) for n, t in (("doc_id", table.schema.field("doc_id").type), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))})
         keys, _ = _count(table)
         parts = sorted(zip(news["b"].to_pylist(), news["totals"].to_pylist(), strict=True))
         counts = np.concatenate([_unpacked(zlib.decompress(t)) for _, t in parts]).astype(np.int64)
@@ -172,5 +199,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         return pa.table({"doc_id": table["doc_id"], "train": table["train"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
 
     news = back.where("g >= 0").select("g", "b", "totals")
-    out = dealt.groupBy("g").cogroup(news.groupBy("g")).applyInArrow(scored, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = dealt.groupBy("g").cogroup(news.groupBy("g")).applyInArrow(scored, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(sizes[0]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -149,7 +149,7 @@ def test_pieces(docs, rows, empty):
         assert model.decode(r["ids"]) == (texts[r["doc_id"]] or "")
 
 
-def test_language_model(docs, rows, empty):
+def test_language_model(docs, rows, empty, monkeypatch):
     seq = [(i, brute.words(brute.lower(t)) + ["<end>"]) for i, t in rows]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     train = [w for i, w in seq if not held(i)]
@@ -158,11 +158,27 @@ def test_language_model(docs, rows, empty):
     total, kinds = sum(uni.values()), len(uni)
     context = uni | {"<start>": len(train)}
     p = lambda w: (uni[w] + 0.5) / (total + 0.5 * (kinds + 1))
-    want = [(i, held(i), len(w), sum(uni[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 6),
-             round(sum(math.log10((pair[h, x] + lm.MASS * p(x)) / (context.get(h, 0) + lm.MASS)) for h, x in zip(["<start>", *w], w)), 6)) for i, w in seq]
-    out = lm.lm_scores(docs).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+    def step(h, w):
+        """Backoff: an arc's discounted weight, or the failure arc and the root's; unknown words have no state."""
+        if context.get(h, 0) == 0:
+            return p(w)
+        return pair[h, w] / (context[h] + lm.MASS) if pair[h, w] else lm.MASS / (context[h] + lm.MASS) * p(w)
+
+    assert any(pair[h, w] and abs(step(h, w) - (pair[h, w] + lm.MASS * p(w)) / (context[h] + lm.MASS)) > 1e-4 for _, x in seq for h, w in zip(x, x[1:]))  # no interpolation
+    for h in list(context)[:20]:
+        assert sum(step(h, w) for w in uni) <= 1 + 1e-9
+    want = [(i, held(i), len(w), sum(uni[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 5), round(sum(math.log10(step(h, x)) for h, x in zip(["<start>", *w], w)), 5)) for i, w in seq]
+    out = lm.lm_scores(docs).withColumns({c: F.round(c, 5) for c in ("base_score", "score")})
     assert got(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score") == sorted(want, key=repr)
+    monkeypatch.setattr(lm, "SEGMENT", 7)
+    monkeypatch.setattr(lm, "GROUP_BYTES", 9000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 20000)
+    again = lm.lm_scores(docs).withColumns({c: F.round(c, 5) for c in ("base_score", "score")})
+    assert got(again, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score") == sorted(want, key=repr)
     assert lm.lm_scores(empty).count() == 0
+    alone = lm.lm_scores(docs.where("doc_id is null or crc32(cast(cast(doc_id as string) as binary)) % 5 = 1"))  # nothing to learn from
+    assert alone.where("train_tokens <> 0 or n_known <> 0 or score <> base_score").count() == 0
 
 
 def test_decontaminate(spark, empty):
