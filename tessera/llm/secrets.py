@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,9 +77,9 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan(rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger lacks. Gives (findings by blob and kind, ledger with this run's pairs).
+    """Scan what the ledger lacks. Gives (findings by blob and kind, this run's pairs for the ledger).
 
-    rows: (doc_id, text, blob), one row per path. A ledger row without spans says: scanned, nothing found.
+    rows: (text, blob), one row per path and version. A ledger row without spans says: scanned, nothing found.
     """
     unseen = rows.select("blob", "text").dropDuplicates(["blob"])
     every = F.array(*(F.lit(r.kind) for r in rules))
@@ -91,12 +92,11 @@ def scan(rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         todo = unseen.join(known, "blob", "left").withColumn("todo", left).where(F.size("todo") > 0).drop("known")
     found = scan_blobs(todo, rules).groupBy("blob", "kind", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     fresh = staged(found, "secrets")
-    versions = {r.kind: r.version for r in rules}
+    new = _scanned(todo, rules).join(fresh, ["blob", "kind", "version"], "left").select("blob", "kind", "version", "spans")
     if ledger is None:
-        return fresh, _scanned(todo, rules).join(fresh, ["blob", "kind", "version"], "left").select("blob", "kind", "version", "spans")
-    valid = ledger.where(" or ".join(f"kind = '{k}' and version = {v}" for k, v in versions.items()))
-    grown = _scanned(todo, rules).join(fresh, ["blob", "kind", "version"], "left").select("blob", "kind", "version", "spans")
-    return valid.where("spans is not null").unionByName(fresh), ledger.unionByName(grown)
+        return fresh, new
+    valid = ledger.where(" or ".join(f"kind = '{r.kind}' and version = {r.version}" for r in rules))
+    return valid.where("spans is not null").unionByName(fresh), new
 
 
 def _scanned(todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -112,14 +112,39 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str =
     """
     others = [docs[c] for c in docs.columns if c != text_col]
     rows = blobs_of(docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*others).alias("rest")))
-    findings, grown = scan(rows, ledger)
+    findings, new = scan(rows, ledger)
     order = F.coalesce(*(F.when(F.col("kind") == r.kind, k) for k, r in enumerate(RULES)))
     span = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("order"), F.col("kind"), s["end"].alias("end")))
     per_blob = findings.withColumn("order", order).groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(span))).alias("found"))
     # Written before the join, so that a content with very many paths can be split there.
     per_blob = staged(per_blob, "secrets-by-blob").withColumnRenamed("blob", "_blob")
     out = rows.join(per_blob, F.col("blob") == F.col("_blob"), "left")
-    return out.select("doc_id", "text", "found", "rest"), grown
+    return out.select("doc_id", "text", "found", "rest"), new if ledger is None else ledger.unionByName(new)
+
+
+def load_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at a path of a file system that all executors share; empty if there is none."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def scan_history(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path_col: str = "path", version_col: str = "version", text_col: str = "text") -> DataFrame:
+    """(path, version, blob, kind, start, end): findings of every version of every path, one row each.
+
+    ``ledger`` is where the ledger is stored. Contents that it has under the rules' versions are not scanned again, under whatever path or
+    version they come back; the run's own pairs are appended. Versions without findings have no row.
+    """
+    rows = blobs_of(versions.select(versions[path_col].alias("path"), versions[version_col].alias("version"), F.coalesce(versions[text_col], F.lit("")).alias("text")))
+    findings, new = scan(rows, load_ledger(versions.sparkSession, ledger), rules)
+    new = staged(new, "secrets-new")
+    findings = staged(findings.select(F.col("blob").alias("_blob"), "kind", F.explode("spans").alias("s")), "secrets-found")
+    new.write.mode("append").parquet(ledger)
+    out = rows.select("path", "version", "blob").join(findings, F.col("blob") == F.col("_blob"))
+    return out.select("path", "version", "blob", "kind", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def _joined(spans: Column) -> Column:

@@ -18,13 +18,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import texts
 
-#: Words and pairs remembered by a worker in each of two generations.
-REMEMBERED = 300_000
+#: Words and pairs remembered by a worker in each of two generations, none of them longer than so many characters.
+REMEMBERED, LONGEST = 300_000, 64
 LIMIT = 2048
 
 
@@ -36,6 +36,8 @@ class _Memory(dict):
         self.make, self.older = make, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -69,12 +71,13 @@ class PrefixCounter:
         self.vocab = set(spec["model"]["vocab"])
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(spec["model"]["merges"])}
         self.longest = max(len(v.removesuffix(self.END)) for v in self.vocab)
-        specials = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.special = re.compile("|".join(specials)) if specials else None
+        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.symbols = dict(enumerate(byte_symbols()))
         self.pair = _Memory(lambda p: self._merge(p[0] + p[1], len(p[1])) == [len(p[0]), len(p[1].removesuffix(self.END))])
         self.whole = _Memory(lambda t: self._merge(t, len(t)) == [len(t.removesuffix(self.END))])
         self.words = _Memory(self._word)
+        self.inside = _Memory(self._inside)
 
     def _merge(self, text: str, _: int) -> list[int]:
         """Lengths of the tokens after merging by rank, leftmost first; for short texts."""
@@ -140,14 +143,46 @@ class PrefixCounter:
             return low, [m.span() for m in self.LATIN.finditer(low)]
         return low, [span for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(low)]
 
+    def _parts(self, text: str) -> list[str]:
+        """Texts and, at odd places, the special strings between them."""
+        return self.special.split(text) if any(x in text for x in self.specials) else [text]
+
     def count(self, text: str) -> int:
         """Tokens of the whole text: the last of its prefix counts."""
-        if "<|" in text and self.special and (parts := self.special.split(text))[1:]:
-            return len(parts) - 1 + sum(map(self.count, parts))
+        parts = self._parts(text)
+        if len(parts) > 1:
+            return len(parts) // 2 + sum(map(self.count, parts[::2]))
         low = self._normal(text)
         if low.isascii() or max(low) < "ɐ":
             return sum(map(self.words.__getitem__, self.LATIN.findall(low)))
-        return sum(self.words[low[a:b]] for a, b in self.tokenizer.pre_tokenizer.pre_tokenize_str(low) and self._split(text)[1])
+        return sum(self.words[low[a:b]] for a, b in self._split(low)[1])
+
+    def table(self, text: str) -> tuple[str, list[int]]:
+        """The normalised text and the token counts of all its prefixes, in code points, from 0."""
+        whole, out = [], [0]
+        for k, part in enumerate(self._parts(text)):
+            if k % 2:
+                # A special string that is cut is ordinary text.
+                before = "".join(whole)
+                out += [self.count(before + part[:i]) for i in range(1, len(part))] + [out[-1] + 1]
+                whole.append(part)
+                continue
+            low, spans = self._split(part)
+            at = 0
+            for a, b in spans:
+                out += [out[-1]] * (a - at)
+                start = out[-1]
+                out += (start + n for n in self.inside[low[a:b]][1:])
+                at = b
+            out += [out[-1]] * (len(low) - at)
+            whole.append(low)
+        return "".join(whole), out
+
+    def _inside(self, word: str) -> list[int]:
+        counts = self.word_prefixes(word)
+        if word[0] == "'" and len(word) == 3:  # of a contraction that is cut, the apostrophe is a word of its own
+            counts[2] = self.words["'"] + self.words[word[1]]
+        return counts
 
     def prefixes(self, text: str) -> Iterator[tuple[int, int]]:
         """(end in the normalised text, tokens up to there) after each word; text without special strings."""
@@ -164,7 +199,7 @@ class PrefixCounter:
         for k, (a, b) in enumerate(spans):
             n = self.words[low[a:b]]
             if used + n > budget:
-                inside = self.word_prefixes(low[a:b])
+                inside = self.inside[low[a:b]]
                 best = max(i for i, c in enumerate(inside) if used + c <= budget)
                 return low[: a + best] if best else low[: spans[k - 1][1] if k else 0]
             used += n
@@ -193,3 +228,30 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     rows = texts(docs, id_col, text_col)
     out = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), count("text").alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def prefix_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, normal, counts) per row: the text as the vocabulary normalises it, and the exact number of tokens of each of its prefixes.
+
+    counts[k] is of the first k code points, so it has one entry more than the text. Written as a table, it answers ``tokens_at`` and ``cut_to_budget`` without the tokenizer.
+    """
+
+    @F.pandas_udf("normal string, counts array<int>")
+    def table(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        c = counter(path)
+        for batch in batches:
+            yield pd.DataFrame([c.table(t) for t in batch], columns=["normal", "counts"])
+
+    return texts(docs, id_col, text_col).select("doc_id", table("text").alias("t")).select("doc_id", "t.normal", "t.counts")
+
+
+def tokens_at(length: Column | int) -> Column:
+    """Of a prefix table's row: tokens of the first ``length`` code points, of the whole text if it is shorter."""
+    length = length if isinstance(length, Column) else F.lit(length)
+    return F.element_at("counts", (F.least(length.cast("int"), F.size("counts") - 1) + 1).cast("int"))
+
+
+def cut_to_budget(table: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, text, n_tokens): the longest prefix of each normalised text that has ``budget`` tokens at most."""
+    fits = F.array_max(F.filter(F.transform("counts", lambda n, i: F.when(n <= budget, i)), lambda i: i.isNotNull()))
+    return table.withColumn("_end", fits).select("doc_id", F.substring("normal", F.lit(1), F.col("_end")).alias("text"), tokens_at(F.col("_end")).alias("n_tokens"))
