@@ -1,17 +1,21 @@
-"""Benchmark decontamination by rare shingles of the items.
-
-A document holds an item if any run of its words, of whatever length, has a
-weighted Jaccard similarity of five-word shingles with the item of
-``SIMILARITY`` or more. Such a run shares at least that part of the item's
-shingles, so it holds one of any choice of more than the rest: tables keep
-of each item as many of those shingles that the fewest items have, and no copy is missed. Around
-the places found, the best run is chosen among all that begin and end with a shared
-shingle; no other run is better than the one left of it when its ends are cut off.
+"""Benchmark decontamination by SimHash windows.
+
+A document holds an item if some run of its words has a weighted Jaccard
+similarity of five-word shingles with the item of ``SIMILARITY`` or more. An edit
+inside such a run costs the two four shingles or more, so there can be few, and between
+them at least ``stretch`` words of the item stand unchanged. Windows have a size that follows from the item's, a part of that stretch: the item
+has one at every place, a document at every ``step``, so that one window of the document lies within the stretch and has the
+fingerprint of a window of the item. Fingerprints are SimHashes of a window's words. They are found in
+an index of four blocks of 16 bits each, which guarantees all within a Hamming distance of
+``RADIUS``, so windows with a changed word can be found too. Around the places found, the best run is chosen among all that
+begin and end with a shared shingle, by its exact similarity; no other run is better than the one left of it when its ends are cut off.
 
 Words are runs of letters, digits and characters beyond ASCII, in lower case.
 
-Cases: null and empty texts match nothing, nor do items without words. Items of under five words are one
-shingle, which their exact words in order match. Repeated rows are matched each. Null ids are kept. Other columns are ignored.
+Cases: null and empty texts match nothing, nor do items without words, nor does an empty benchmark. Items of under five words are one
+shingle, which their exact words in order match. Repeated rows are matched each; items of one id with several texts each
+are matched, and a document that holds two of them has two rows. Of runs with one similarity the first is taken. Null ids are kept; ids may be of any
+type. Very long texts are read whole, one at a time. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +27,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.common import texts
 from tessera.llm.hashing import ALNUM, mix, runs, slices, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Items held by a worker at a time; a larger benchmark takes several passes over the documents.
-ITEMS_A_PASS = 5000
-#: Bits of a shingle that a first look goes by.
-LOOK = np.uint64((1 << 22) - 1)
+#: Items and bytes of items held by a worker at a time, about; a larger benchmark takes several passes over the documents.
+ITEMS_A_PASS, BYTES_A_PASS = 5000, 4 << 20
+#: Hamming distance of fingerprints up to which windows are found; one more block than that, of which one then is equal.
+RADIUS, BLOCK_BITS = 3, 16
+#: Sizes of windows, in words.
+SIZES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 18, 22, 26, 30)
 
 
 def reach(n: int) -> tuple[int, int]:
@@ -39,6 +46,78 @@ def reach(n: int) -> tuple[int, int]:
     return math.ceil(n * SIMILARITY - 1e-9), math.floor(n / SIMILARITY + 1e-9)
 
 
+def stretch(words: int) -> int:
+    """Words of an item of so many that stand unchanged and together in any run that reaches the similarity.
+
+    Of ``x`` shared shingles, at most x (1 / SIMILARITY - 1) others are in the two. An edit inside makes about 9, and
+    4 at least, where it repeats words beside it or takes away such a repetition; e edits leave e + 1 stretches.
+    """
+    if words <= SHINGLE:
+        return words
+    total = words - SHINGLE + 1
+    shared = np.arange(reach(total)[0], total + 1)
+    edits = np.floor(shared * (1 / SIMILARITY - 1) / (SHINGLE - 1) + 1e-9)
+    return int(np.ceil(shared / (edits + 1)).min()) + SHINGLE - 1
+
+
+def window(words: int) -> tuple[int, int]:
+    """(size, step) of the windows for an item of so many words: any ``stretch`` of a document holds a whole window."""
+    clean = stretch(words)
+    size = max(w for w in SIZES if w <= max(1, 0.8 * clean) or w == clean < SHINGLE)
+    return size, clean - size + 1
+
+
+def ballots(h: np.ndarray) -> np.ndarray:
+    """votes[k]: for each bit, how many of the first k words have it, twice, less k."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
+    out = np.zeros((len(h) + 1, 64), np.int32)
+    np.cumsum(2 * bits - 1, axis=0, out=out[1:])
+    return out
+
+
+def simhash(votes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows that start there: bits that more than half of the words have."""
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), 1 << 15):
+        at = starts[k : k + (1 << 15)]
+        out[k : k + len(at)] = np.packbits(votes[at + size] > votes[at], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def spread(starts: np.ndarray, counts: np.ndarray, step: int = 1) -> np.ndarray:
+    """starts[k], starts[k] + step, ... (counts[k] numbers), one after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts, counts) + step * (np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts))
+
+
+class HammingIndex:
+    """Finds all fingerprints within ``RADIUS``: of RADIUS + 1 blocks of bits one is equal, and each block has a table."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.tables = codes, []
+        for k in range(RADIUS + 1):
+            value = self._block(codes, k)
+            self.tables.append((np.argsort(value, kind="stable"), np.r_[0, np.cumsum(np.bincount(value, minlength=1 << BLOCK_BITS))]))
+
+    @staticmethod
+    def _block(codes: np.ndarray, k: int) -> np.ndarray:
+        return ((codes >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+
+    def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among the codes asked, place among those held) of all pairs; one may come twice."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k, (order, ends) in enumerate(self.tables):
+            value = self._block(codes, k)
+            size = ends[value + 1] - ends[value]
+            some = np.flatnonzero(size)
+            for a in range(0, len(some), 1 << 16):
+                part = some[a : a + (1 << 16)]
+                q, held = np.repeat(part, size[part]), order[spread(ends[value[part]], size[part])]
+                close = np.bitwise_count(codes[q] ^ self.codes[held]) <= RADIUS
+                out.append((q[close], held[close]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def best_run(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[float, int, int] | None:
     """(similarity, first, shingles) of the run of ``part`` most similar to an item with these shingles: sum of smaller over sum of larger multiplicities."""
     total = int(counts.sum())
@@ -72,59 +151,53 @@ def best_run(part: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[f
 
 
 class Items:
-    """The benchmark's rarest shingles in tables, one for each number of words a shingle."""
+    """The benchmark's windows, indexed for each size of windows."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[object, str]]):
         h, at = word_hashes(pa.array([t or "" for _, t in rows], pa.large_string()), ALNUM)
         h = mix(h)
         self.ids = [i for i, _ in rows]
         sizes = np.diff(at)
+        self.width = np.minimum(sizes, SHINGLE)
         self.shingles = [np.unique(runs(h[a:b], min(b - a, SHINGLE)), return_counts=True) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        known = [s[0] for s in self.shingles if s]
-        every, held = np.unique(np.concatenate(known), return_counts=True) if known else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        rare: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for k, s in enumerate(self.shingles):
-            if s:
-                kinds, counts = s
-                order = np.argsort(held[np.searchsorted(every, kinds)], kind="stable")
-                total = int(counts.sum())
-                enough = int(np.searchsorted(np.cumsum(counts[order]), total - reach(total)[0] + 1)) + 1
-                rare.setdefault(int(min(sizes[k], SHINGLE)), []).append((kinds[order[:enough]], k))
-        self.tables = {}
-        for width, parts in sorted(rare.items()):
-            keys, owners = np.concatenate([x for x, _ in parts]), np.repeat([k for _, k in parts], [len(x) for x, _ in parts])
-            order = np.argsort(keys, kind="stable")
-            seen = np.zeros(int(LOOK) + 1, bool)
-            seen[keys & LOOK] = True
-            self.tables[width] = keys[order], owners[order], seen
-
-    def matches(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
+        votes = ballots(h)
+        chosen: dict[int, list[tuple[int, int]]] = {}
+        for k, n in enumerate(sizes.tolist()):
+            if n:
+                size, step = window(n)
+                chosen.setdefault(size, []).append((k, step))
+        self.windows = []
+        for size, members in sorted(chosen.items()):
+            item = np.array([k for k, _ in members])
+            counts = sizes[item] - size + 1
+            index = HammingIndex(simhash(votes, spread(at[:-1][item], counts), size))
+            self.windows.append((size, min(step for _, step in members), np.repeat(item, counts), index))
+
+    def matches(self, column: pa.Array) -> list[tuple[int, object, int, int, float]]:
         """(text, item, first word, words, similarity) of copies, the best for each text and item."""
         h, at = word_hashes(column, ALNUM)
         h = mix(h)
-        out = []
-        for width, (keys, owners, seen) in self.tables.items():
-            if len(h) < width:
-                continue
-            every = runs(h, width)
-            where = np.flatnonzero(seen[every & LOOK])
-            low = np.searchsorted(keys, every[where], "left")
-            n = np.searchsorted(keys, every[where], "right") - low
-            text = np.searchsorted(at, where, "right") - 1
-            n[where + width > at[text + 1]] = 0
-            hit = np.repeat(np.arange(len(where)), n)
-            item = owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(hit))]
+        votes, every, out = ballots(h), {}, []
+        for size, step, owner, index in self.windows:
+            counts = np.maximum(0, (np.diff(at) - size) // step + 1)
+            places = spread(at[:-1], counts, step)
+            q, held = index.near(simhash(votes, places, size))
+            place, item = places[q], owner[held]
+            text = np.searchsorted(at, place, "right") - 1
             # Found places by text and item, in order.
-            order = np.lexsort((item, text[hit]))
-            t, item, place = text[hit][order], item[order], where[hit][order]
-            cuts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (item[1:] != item[:-1]), True]) if len(t) else np.zeros(1, np.int64)
+            order = np.lexsort((place, item, text))
+            text, item, place = text[order], item[order], place[order]
+            cuts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]), True]) if len(text) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                k, doc = int(item[a]), int(t[a])
-                kinds, counts = self.shingles[k]
-                most = reach(int(counts.sum()))[1]
-                first = max(int(at[doc]), int(place[a]) - most + 1)
+                k, doc = int(item[a]), int(text[a])
+                kinds, counts_of = self.shingles[k]
+                width, most = int(self.width[k]), reach(int(counts_of.sum()))[1]
+                if width not in every:
+                    every[width] = runs(h, width)
+                # A run that holds a window is no longer than ``most`` shingles.
+                first = max(int(at[doc]), int(place[a]) + size - most - width + 1)
                 last = min(int(at[doc + 1]) - width, int(place[b - 1]) + most - 1)
-                found = best_run(every[first : last + 1], kinds, counts)
+                found = best_run(every[width][first : last + 1], kinds, counts_of) if first <= last else None
                 if found:
                     s, p, length = found
                     out.append((doc, k, first + p - int(at[doc]), length + width - 1, s))
@@ -135,8 +208,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, first_word, n_words, similarity): every document that holds an item, once for each item."""
     rows = texts(docs, id_col, text_col)
     items = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("text"))
-    passes = -(-items.count() // ITEMS_A_PASS) or 1
+    size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    passes = max(-(-size[0] // ITEMS_A_PASS), -(-size[1] // BYTES_A_PASS), 1)
     spark, out = docs.sparkSession, None
+    kinds = {x: df.schema[x].dataType for df, x in ((rows, "doc_id"), (items, "item_id"))}
+    arrow = to_arrow_type(kinds["item_id"])
     for k in range(passes):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.distinct().orderBy("item_id", "text").collect()])
@@ -144,14 +220,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = Items(shared.value)
             for batch in batches:
-                for part in slices(batch, "text", 1 << 20):
+                for part in slices(batch, "text", 1 << 19):
                     found = known.matches(part.column(1))
                     if found:
                         t, i, a, n, s = zip(*found, strict=True)
                         yield pa.record_batch(
-                            {"doc_id": part.column(0).take(pa.array(t)), "item_id": pa.array(i, pa.int64()), "first_word": pa.array(a, pa.int64()), "n_words": pa.array(n, pa.int64()), "similarity": pa.array(s, pa.float64())}
+                            {"doc_id": part.column(0).take(pa.array(t)), "item_id": pa.array(i, arrow), "first_word": pa.array(a, pa.int64()), "n_words": pa.array(n, pa.int64()), "similarity": pa.array(s, pa.float64())}
                         )
 
-        part = rows.mapInArrow(match, "doc_id long, item_id long, first_word long, n_words long, similarity double")
+        names = ", ".join(f"{x} {kind.simpleString()}" for x, kind in kinds.items())
+        part = rows.mapInArrow(match, f"{names}, first_word long, n_words long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
