@@ -15,40 +15,42 @@ from tessera.llm.common import small, staged, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality rules reject."""
+    """Drops what the quality rules reject: also null and empty texts, which have no words. Each of repeated rows is judged, alike."""
     packed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("row"))
     ratios = quality.fit(packed, quality.trusted_ids(table(spark, sf_dir, "labels")))
-    # The row number keeps the filter above the projections: pushed through them, it would hold their expressions many times over.
-    judged = quality.judge(packed, ratios).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where("kept and _at >= 0").select("row.*")
+    return quality.judge(packed, ratios).where("kept").select("row.*")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest id stays; rows without an id stay."""
+    """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest id stays.
+
+    Texts without words are in no group and stay. Of rows that repeat an id and its text one stays; rows of one id with other
+    texts stay or go together. Rows without an id stay.
+    """
     found = staged(jaccard.jaccard_join(docs, words=5, percent=80), "one-of-group")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(small(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
     # Rows that repeat an id and its text are copies too.
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return left if twice.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    if twice.isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id is null"))
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    hits = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null")
-    hits = staged(hits.select(F.col("doc_id").alias("_hit")).distinct(), "benchmark-hits")
-    return docs.join(small(hits, 16), F.col("doc_id") == F.col("_hit"), "left_anti")
+    """Drops rows that hold a benchmark item, with or without an id; null and empty texts hold none. Of an empty benchmark, all stay."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Overwrites secrets; n_chars follows the text."""
+    """Overwrites secrets in every row; n_chars follows the text. A null text becomes the empty one."""
     found, _ = secrets.secret_scan(docs)
     out = secrets.redacted(found).select("rest.*", "text")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation."""
+    """(doc_id, ids, n_pieces): piece ids of the best segmentation of every row; null and empty texts have none."""
     return pieces.encode_table(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

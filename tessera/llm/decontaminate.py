@@ -22,9 +22,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,6 +38,8 @@ from tessera.llm.hashing import ALNUM, mix, runs, slices, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 #: Items and bytes of items held by a worker at a time, about; a larger benchmark takes several passes over the documents.
 ITEMS_A_PASS, BYTES_A_PASS = 5000, 4 << 20
+#: Bytes of documents that a worker takes at a time.
+CHUNK = 1 << 19
 #: Hamming distance of fingerprints up to which windows are found; one more block than that, of which one then is equal.
 RADIUS, BLOCK_BITS = 3, 16
 #: Sizes of windows, in words.
@@ -204,23 +209,27 @@ class Items:
         return [(t, self.ids[k], a, n, s) for t, k, a, n, s in sorted(out)]
 
 
+def _passes(benchmark: DataFrame, item_col: str, item_text: str) -> list[Broadcast]:
+    """The items as (id, text), in broadcasts of bounded size."""
+    items = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("text"))
+    size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(-(-size[0] // ITEMS_A_PASS), -(-size[1] // BYTES_A_PASS), 1)
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().orderBy("item_id", "text").collect() for k in range(n))
+    return [benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part]) for part in parts]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity): every document that holds an item, once for each item."""
     rows = texts(docs, id_col, text_col)
-    items = benchmark.select(benchmark[item_col].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("text"))
-    size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    passes = max(-(-size[0] // ITEMS_A_PASS), -(-size[1] // BYTES_A_PASS), 1)
-    spark, out = docs.sparkSession, None
-    kinds = {x: df.schema[x].dataType for df, x in ((rows, "doc_id"), (items, "item_id"))}
+    kinds = {"doc_id": rows.schema["doc_id"].dataType, "item_id": benchmark.schema[item_col].dataType}
     arrow = to_arrow_type(kinds["item_id"])
-    for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in block.distinct().orderBy("item_id", "text").collect()])
+    schema = ", ".join(f"{x} {kind.simpleString()}" for x, kind in kinds.items()) + ", first_word long, n_words long, similarity double"
 
-        def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def run(shared: Broadcast) -> DataFrame:
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(shared.value)
             for batch in batches:
-                for part in slices(batch, "text", 1 << 19):
+                for part in slices(batch, "text", CHUNK):
                     found = known.matches(part.column(1))
                     if found:
                         t, i, a, n, s = zip(*found, strict=True)
@@ -228,7 +237,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             {"doc_id": part.column(0).take(pa.array(t)), "item_id": pa.array(i, arrow), "first_word": pa.array(a, pa.int64()), "n_words": pa.array(n, pa.int64()), "similarity": pa.array(s, pa.float64())}
                         )
 
-        names = ", ".join(f"{x} {kind.simpleString()}" for x, kind in kinds.items())
-        part = rows.mapInArrow(match, f"{names}, first_word long, n_words long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return rows.mapInArrow(match, schema)
+
+    return reduce(DataFrame.unionByName, map(run, _passes(benchmark, item_col, item_text)))
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no item; rows need no ids."""
+
+    at = docs.columns.index(text_col)
+
+    def run(rows: DataFrame, shared: Broadcast) -> DataFrame:
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Items(shared.value)
+            for batch in batches:
+                for part in slices(batch.append_column("_text", pc.fill_null(batch.column(at), "")), "_text", CHUNK):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[m[0] for m in known.matches(part.column(part.num_columns - 1))]] = False
+                    yield part.select(range(part.num_columns - 1)).filter(pa.array(keep))
+
+        return rows.mapInArrow(clean, rows.schema)
+
+    return reduce(run, _passes(benchmark, item_col, item_text), docs)

@@ -329,7 +329,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     m = staged(m, "jaccard-open")
     others = m.where("cid <> pivot").groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rest").alias("any"))
     left = staged(others.where("low <> high or any").select("block"), "jaccard-left")
-    m = m.join(left, "block", "left_semi")
+    # Written, so that what follows is dealt anew and a hot block's rows can be split.
+    m = staged(m.join(left, "block", "left_semi"), "jaccard-still-open")
     # A block of moderate size is one R-tree that its members query (all were held against the pivot already).
     moderate = m.where((F.col("members") <= BLOCK) & (F.col("cid") != F.col("pivot"))).withColumns({"tree": F.xxhash64("block"), "asks": F.lit(True), "holds": F.lit(True)})
     pick = lambda d: d.select("tree", "cid", "n", "comp", "asks", "holds")
