@@ -78,3 +78,39 @@ def rescale(value: Column, by: int) -> Column:
 def hash_key(*columns: Column) -> Column:
     """64-bit hash of a composite key; each column seeds the next."""
     return F.xxhash64(*columns)
+
+
+def checksum(column: Column) -> Column:
+    """CRC-32 of a text's UTF-8 bytes."""
+    return F.crc32(column.cast("binary"))
+
+
+def murmur(*columns: Column) -> Column:
+    """32-bit Murmur3 of a composite key, the hash that shuffles deal by."""
+    return F.hash(*columns)
+
+
+def parse_date(text: Column) -> Column:
+    """``year-month-day`` with any number of digits and blanks around it; raises on anything else."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^\d+-\d+-\d+$"), F.make_date(*(F.split_part(t, F.lit("-"), F.lit(k)).cast("int") for k in (1, 2, 3)))).otherwise(
+        F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("invalid date format: "), text)).cast("date"))
+    )
+
+
+def print_date(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
+
+
+def parse_timestamp(text: Column) -> Column:
+    """``date hour:minute:second`` with milliseconds behind a point if any; raises on anything else."""
+    parts = F.regexp_extract_all(F.trim(text), F.lit(r"^(\d+)-(\d+)-(\d+) (\d+):(\d+):(\d*)(?:\.(\d*))?$"), F.lit(0))
+    part = lambda k: F.regexp_extract(F.trim(text), r"^(\d+)-(\d+)-(\d+) (\d+):(\d+):(\d*)(?:\.(\d*))?$", k)
+    number = lambda k: F.coalesce(F.nullif(part(k), F.lit("")).cast("int"), F.lit(0))
+    seconds = (number(6) + number(7) / F.lit(1000)).cast("decimal(8,6)")
+    made = F.make_timestamp_ntz(number(1), number(2), number(3), number(4), number(5), seconds)
+    return F.when(F.size(parts) == 1, made).otherwise(F.when(text.isNotNull(), F.raise_error(F.concat(F.lit("invalid timestamp format: "), text)).cast("timestamp_ntz")))
+
+
+def print_timestamp(moment: Column) -> Column:
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss.SSS")

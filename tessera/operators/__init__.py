@@ -7,6 +7,7 @@ from tessera.operators.relational import (
     index_lookup,
     ordered_fold,
     partition_by_key,
+    plan_text,
     product,
     project,
     result,
@@ -18,5 +19,5 @@ from tessera.operators.relational import (
 
 __all__ = [
     "fixed_aggregation", "hash_group", "hash_join", "index_lookup", "ordered_fold", "partition_by_key",
-    "product", "project", "result", "scan", "select", "semi_join", "tap",
+    "plan_text", "product", "project", "result", "scan", "select", "semi_join", "tap",
 ]

@@ -94,3 +94,9 @@ def tap(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observa
 def result(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Final projection: output name -> column."""
     return df.select(*(F.col(c).alias(name) for name, c in columns.items()))
+
+
+def plan_text(df: DataFrame, mode: str = "formatted") -> str:
+    """The physical plan as text: 'simple', 'extended', 'formatted', 'cost', or 'codegen' for the generated code of its stages."""
+    session = df.sparkSession._jvm.PythonSQLUtils
+    return session.explainString(df._jdf.queryExecution(), mode)

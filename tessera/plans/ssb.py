@@ -26,10 +26,12 @@ class StarQuery:
     keys: tuple[str, ...] = ()
     fact: str = ""
     order: tuple[str, ...] = field(default=("part", "supplier", "customer", "ddate"))
+    #: Wider predicates on the stored lineitem and on o_orderdate, for what Parquet can skip.
+    coarse: tuple[str, str] = ()
 
     def run(self, star: Star) -> DataFrame:
         """Dimensions without output columns are semi-joins; the rest join on their unique keys."""
-        rows = star.lineorder
+        rows = star.some_lineorder(*map(F.expr, self.coarse)) if self.coarse else star.lineorder
         if self.fact:
             rows = rows.filter(self.fact)
         for dim in self.order:
@@ -66,8 +68,12 @@ _YEARS = "d_year >= 1996 and d_year <= 2000"
 _CITIES = "{0}_city in ('NATION_3#0', 'NATION_3#1')"
 
 
-def _revenue1(dims: str, discount: str, quantity: str) -> StarQuery:
-    return StarQuery("lo_extendedprice*lo_discount", "revenue", 4, {"ddate": dims}, fact=f"lo_discount {discount} and lo_quantity {quantity}")
+def _revenue1(dims: str, discount: tuple[int, int], quantity: tuple[int, int], days: tuple[str, str]) -> StarQuery:
+    """Bounds of the discount in hundredths and of the quantity, both included; days: first, and first one behind."""
+    fact = f"lo_discount between {discount[0]} and {discount[1]} and lo_quantity between {quantity[0]} and {quantity[1]}"
+    stored = f"l_discount between {discount[0] / 100 - 0.004}D and {discount[1] / 100 + 0.004}D and l_quantity >= {quantity[0]}D and l_quantity < {quantity[1] + 1}D"
+    dates = f"o_orderdate >= timestamp_ntz '{days[0]}' and o_orderdate < timestamp_ntz '{days[1]}'"
+    return StarQuery("lo_extendedprice*lo_discount", "revenue", 4, {"ddate": dims}, fact=fact, coarse=(stored, dates))
 
 
 def _revenue2(part: str, region: str) -> StarQuery:
@@ -84,9 +90,9 @@ def _profit(dims: dict[str, str], keys: tuple[str, ...]) -> StarQuery:
 
 _AMERICA = {"part": "p_mfgr in ('MFGR#1', 'MFGR#2')", "supplier": "s_region = 'AMERICA'", "customer": "c_region = 'AMERICA'"}
 STAR = {
-    "ssb_q11": _revenue1("d_year = 1997", "between 1 and 3", "< 25"),
-    "ssb_q12": _revenue1("d_yearmonthnum = 199701", "between 4 and 6", "between 26 and 35"),
-    "ssb_q13": _revenue1("d_weeknuminyear = 6 and d_year = 1997", "between 5 and 7", "between 26 and 35"),
+    "ssb_q11": _revenue1("d_year = 1997", (1, 3), (0, 24), ("1997-01-01", "1998-01-01")),
+    "ssb_q12": _revenue1("d_yearmonthnum = 199701", (4, 6), (26, 35), ("1997-01-01", "1997-02-01")),
+    "ssb_q13": _revenue1("d_weeknuminyear = 6 and d_year = 1997", (5, 7), (26, 35), ("1997-02-01", "1997-02-15")),
     "ssb_q21": _revenue2("p_category = 'MFGR#12'", "AMERICA"),
     "ssb_q22": _revenue2("p_brand1 between 'MFGR#2221' and 'MFGR#2228'", "ASIA"),
     "ssb_q23": _revenue2("p_brand1 = 'MFGR#2221'", "EUROPE"),

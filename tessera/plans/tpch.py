@@ -80,6 +80,8 @@ def _q5_joined(t: Tables, p: Params, selective: bool) -> DataFrame:
         region = t.raw("region").filter(F.col("r_name") == p.q5_region)
         n = n.join(region, n.n_regionkey == region.r_regionkey, "left_semi")
         o = o.filter(_year("o_orderdate", p.q5_year))
+        # Customers and suppliers share a nation, so those of other regions need not reach the orders.
+        c = c.join(n, c.c_nationkey == n.n_nationkey, "left_semi")
     sn = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", "s_nationkey", "n_name")
     co = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_nationkey")
     return li.join(co, li.l_orderkey == co.o_orderkey).join(sn, (F.col("l_suppkey") == sn.s_suppkey) & (F.col("c_nationkey") == sn.s_nationkey))

@@ -42,8 +42,14 @@ class Star:
     def lineorder(self) -> DataFrame:
         return self._or("lineorder", self._lineorder)
 
-    def _lineorder(self) -> DataFrame:
-        li, o = self.t.lineitem, self.t.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    def some_lineorder(self, coarse: Column, dates: Column) -> DataFrame:
+        """Line orders for which predicates on the stored lineitem and on o_orderdate hold: both are filtered before they join. A stored star has its own columns to filter."""
+        return self._or("lineorder", lambda: self._lineorder(coarse, dates))
+
+    def _lineorder(self, coarse: Column | None = None, dates: Column | None = None) -> DataFrame:
+        li = self.t.lineitem if coarse is None else self.t.filtered("lineitem", coarse)
+        o = self.t.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        o = o if dates is None else o.filter(dates)
         price, disc = F.col("l_extendedprice"), F.col("l_discount")
         wide = lambda c: c.cast("decimal(18,2)")
         return li.join(o, li.l_orderkey == o.o_orderkey).select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +59,10 @@ class Tables:
             raise AttributeError(name)
         return self.money(self.raw(name), name)
 
+    def filtered(self, name: str, *coarse: Column) -> DataFrame:
+        """A table of which only rows are read for which the coarse predicates on stored types hold; Parquet skips row groups by them."""
+        return self.money(self.raw(name).filter(reduce(lambda a, b: a & b, coarse)), name)
+
     @staticmethod
     def money(df: DataFrame, name: str) -> DataFrame:
         return df.withColumns({c: F.col(c).cast(MONEY) for c in AS_MONEY.get(name, ()) if c in df.columns})
@@ -115,3 +121,11 @@ def load_tpch(spark: SparkSession, directory: str, cache: str | None = None) ->
 
 def load_ssb(spark: SparkSession, directory: str, cache: str | None = None) -> dict[str, DataFrame]:
     return _load(spark, directory, SSB, cache)
+
+
+def read_golden(spark: SparkSession, path: str, spec: str) -> DataFrame:
+    """Expected results as comma-separated values by position, without header or quoting; ``spec`` as for ``read_tbl``."""
+    fields = [f.split(":") for f in spec.split()]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n, _ in fields])
+    df = spark.read.csv(path, sep=",", schema=schema, quote="", escape="", enforceSchema=True)
+    return df.select(*(F.col(n).cast(KINDS.get(k, k)).alias(n) for n, k in fields))
