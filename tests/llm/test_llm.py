@@ -206,20 +206,27 @@ def test_language_model(docs, rows, empty, monkeypatch):
     train = [w for i, w in seq if not held(i)]
     uni = Counter(x for w in train for x in w)
     pair = Counter(p for w in train for p in zip(["<start>", *w], w))
+    triple = Counter(p for w in train for p in zip(["<start>", *w], w, w[1:]))
     total, kinds = sum(uni.values()), len(uni)
     context = uni | {"<start>": len(train)}
     p = lambda w: (uni[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    mass1, mass2 = lm.MASS
 
-    def step(h, w):
+    def from_word(h, w):
         """Backoff: an arc's discounted weight, or the failure arc and the root's; unknown words have no state."""
         if context.get(h, 0) == 0:
             return p(w)
-        return pair[h, w] / (context[h] + lm.MASS) if pair[h, w] else lm.MASS / (context[h] + lm.MASS) * p(w)
+        return pair[h, w] / (context[h] + mass1) if pair[h, w] else mass1 / (context[h] + mass1) * p(w)
 
-    assert any(pair[h, w] and abs(step(h, w) - (pair[h, w] + lm.MASS * p(w)) / (context[h] + lm.MASS)) > 1e-4 for _, x in seq for h, w in zip(x, x[1:]))  # no interpolation
-    for h in list(context)[:20]:
-        assert sum(step(h, w) for w in uni) <= 1 + 1e-9
-    want = [(i, held(i), len(w), sum(uni[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 5), round(sum(math.log10(step(h, x)) for h, x in zip(["<start>", *w], w)), 5)) for i, w in seq]
+    def step(g, h, w):
+        if g is None or not pair[g, h]:
+            return from_word(h, w)
+        return triple[g, h, w] / (pair[g, h] + mass2) if triple[g, h, w] else mass2 / (pair[g, h] + mass2) * from_word(h, w)
+
+    assert any(pair[h, w] and abs(from_word(h, w) - (pair[h, w] + mass1 * p(w)) / (context[h] + mass1)) > 1e-4 for _, x in seq for h, w in zip(x, x[1:]))  # no interpolation
+    for g, h in list(pair)[:20]:
+        assert sum(from_word(h, w) for w in uni) <= 1 + 1e-9 and sum(step(g, h, w) for w in uni) <= 1 + 1e-9
+    want = [(i, held(i), len(w), sum(uni[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 5), round(sum(math.log10(step(g, h, x)) for g, h, x in zip([None, "<start>", *w], ["<start>", *w], w)), 5)) for i, w in seq]
     out = lm.lm_scores(docs).withColumns({c: F.round(c, 5) for c in ("base_score", "score")})
     assert got(out, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score") == sorted(want, key=repr)
     monkeypatch.setattr(lm, "SEGMENT", 7)
