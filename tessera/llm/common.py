@@ -45,7 +45,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there, and it survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more: what was made of them must be staged itself.
+
+    The driver's JVM is asked to collect garbage, since Spark keeps the shuffles of finished jobs until it does.
+    """
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.__dict__.get("_staged_at")
+        if path:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    if tables:
+        jvm.System.gc()
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:

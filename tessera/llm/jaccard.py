@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, staged, texts
+from tessera.llm.common import dropped, small, staged, texts
 from tessera.llm.hashing import mix, runs, slices, word_hashes
 
 WORDS, PERCENT = 4, 85
-DIMS, BLOCK, TILE, LEAF = 256, 64, 1000, 16
+DIMS, BLOCK, TILE, LEAF = 128, 64, 1000, 16
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -182,12 +182,16 @@ class _Classes:
 
     def __init__(self, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str):
         self.rows, self.words, self.percent = texts(docs, id_col, text_col), words, percent
-        self.every = staged(features(self.rows, words, percent), "jaccard-features")
+        made = staged(features(self.rows, words, percent), "jaccard-features")
+        self.every = staged(made.select("doc_id", "rid", "n", "key1", "key2"), "jaccard-rows")
         # A class is named by its first row's number; it is found again by its key.
         named = self.every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("rep"))
         self.named = staged(named, "jaccard-classes")
         firsts = self.named.where("rep is not null").select("cid", "rep")
-        self.points = staged(self.every.join(firsts, F.col("rid") == F.col("cid")).select("cid", "n", "p", "vec", "sketch"), "jaccard-points")
+        firsts = made.join(firsts, F.col("rid") == F.col("cid"))
+        self.points = staged(firsts.select("cid", "n", "vec"), "jaccard-points")
+        self.sketches = staged(firsts.select("cid", "n", "p", "sketch"), "jaccard-sketches")
+        dropped(made)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cid, n, p, s) of the classes wanted (cid)."""
@@ -212,7 +216,12 @@ class _Classes:
         same = (F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("n") == F.col("size"))
         out = staged(made.join(small(asked.drop("rep"), 48), same).select("cid", "n", "p", "s"), "jaccard-sets")
         # Only rows that repeat an id and its text make a class's set twice.
-        return out if out.groupBy("cid").count().where("count > 1").isEmpty() else staged(out.dropDuplicates(["cid"]), "jaccard-sets-once")
+        if out.groupBy("cid").count().where("count > 1").isEmpty():
+            dropped(asked)
+            return out
+        once = staged(out.dropDuplicates(["cid"]), "jaccard-sets-once")
+        dropped(asked, out)
+        return once
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes (a, b) that reach the threshold: first by the bound of their points, then by their sets."""
@@ -232,11 +241,13 @@ class _Classes:
         both = near.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
         both = both.withColumn("x", F.size(F.array_intersect("sa", "sb")))
         linked = both.where(100 * F.col("x") >= percent * (F.size("sa") + F.size("sb") - F.col("x")))
-        return staged(linked.select("a", "b").distinct(), "jaccard-links")
+        links = staged(linked.select("a", "b").distinct(), "jaccard-links")
+        dropped(near, sets)
+        return links
 
     def blocks(self) -> DataFrame:
-        """(cid, n, block): every class in the blocks of its prefix, shingles of hot blocks last in the order."""
-        head = self.points.select("cid", "n", "p", F.explode(F.slice("sketch", F.lit(1), F.col("p"))).alias("block"))
+        """(cid, n, block): every class in the blocks of its prefix, shingles of hot blocks last in the order. Ends the sketches."""
+        head = self.sketches.select("cid", "n", "p", F.explode(F.slice("sketch", F.lit(1), F.col("p"))).alias("block"))
         hot = head.groupBy("block").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BLOCK)
         hot = staged(hot.select(F.col("block").alias("_hot")), "jaccard-hot")
         is_hot = F.col("block") == F.col("_hot")
@@ -244,7 +255,7 @@ class _Classes:
         touched = staged(head.join(small(hot, 8), is_hot, "left_semi").select(F.col("cid").alias("_cid")).distinct(), "jaccard-touched")
         mine = F.col("cid") == F.col("_cid")
         plain = head.join(small(touched, 8), mine, "left_anti").select("cid", "n", "block")
-        longer = self.points.join(small(touched, 8), mine, "left_semi").select("cid", "n", "p", F.explode("sketch").alias("block"))
+        longer = self.sketches.join(small(touched, 8), mine, "left_semi").select("cid", "n", "p", F.explode("sketch").alias("block"))
         longer = longer.join(small(hot, 8), is_hot, "left_anti")
         longer = longer.withColumn("k", F.row_number().over(W.partitionBy("cid").orderBy("block"))).where("k <= p")
         longer = staged(longer, "jaccard-longer")
@@ -252,9 +263,12 @@ class _Classes:
         passed = longer.join(small(enough, 8), mine, "left_semi").select("cid", "n", "block")
         # The others take their whole sets: what is not hot, then what is.
         poor = touched.join(enough.withColumnRenamed("_cid", "cid"), mine, "left_anti").select(F.col("_cid").alias("cid"))
-        whole = self.sets(poor).select("cid", "n", "p", F.explode("s").alias("block")).join(small(hot, 8), is_hot, "left")
+        sets = self.sets(poor)
+        whole = sets.select("cid", "n", "p", F.explode("s").alias("block")).join(small(hot, 8), is_hot, "left")
         whole = whole.withColumn("k", F.row_number().over(W.partitionBy("cid").orderBy(F.col("_hot").isNotNull(), "block"))).where("k <= p")
-        return plain.union(passed).union(staged(whole.select("cid", "n", "block"), "jaccard-poor"))
+        placed = staged(plain.union(passed).union(whole.select("cid", "n", "block")), "jaccard-placed")
+        dropped(self.sketches, hot, touched, longer, sets)
+        return placed
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,14 +323,16 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     """(doc_id, n_shingles, component_id) for every row."""
     classes = _Classes(docs, words, percent, id_col, text_col)
     every, points = classes.every, classes.points
-    placed = staged(classes.blocks(), "jaccard-placed")
+    placed = classes.blocks()
     counted = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = staged(placed.join(counted, "block"), "jaccard-members")
+    met_in = staged(placed.join(counted, "block"), "jaccard-members")
+    dropped(placed)
     # The first of a block is the class that meets the most others: it stands in the middle of its copies.
-    met = members.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
-    first = members.join(met, "cid").groupBy("block").agg(F.max(F.struct("met", (-F.col("cid")).alias("last"), "n")).alias("m"))
+    met = met_in.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
+    first = met_in.join(met, "cid").groupBy("block").agg(F.max(F.struct("met", (-F.col("cid")).alias("last"), "n")).alias("m"))
     first = staged(first.select("block", (-F.col("m.last")).alias("pivot"), F.col("m.n").alias("pivot_n")), "jaccard-first")
-    members = staged(members.join(first, "block"), "jaccard-blocked")
+    members = staged(met_in.join(first, "block"), "jaccard-blocked")
+    dropped(met_in, first)
 
     fits = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("cid") != F.col("pivot"))
     stars = members.where(fits).select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
@@ -326,11 +342,13 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     of = lambda x: known.select(F.col("cid").alias(x), F.col("comp").alias(f"c{x}"))
     m = members.join(of("cid"), "cid", "left").join(of("pivot"), "pivot", "left")
     m = m.withColumn("comp", F.coalesce("ccid", "cid")).withColumn("rest", F.col("comp") != F.coalesce("cpivot", "pivot")).drop("ccid", "cpivot")
-    m = staged(m, "jaccard-open")
+    m = opened = staged(m, "jaccard-open")
+    dropped(members, known)
     others = m.where("cid <> pivot").groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("rest").alias("any"))
     left = staged(others.where("low <> high or any").select("block"), "jaccard-left")
     # Written, so that what follows is dealt anew and a hot block's rows can be split.
     m = staged(m.join(left, "block", "left_semi"), "jaccard-still-open")
+    dropped(opened, left)
     # A block of moderate size is one R-tree that its members query (all were held against the pivot already).
     moderate = m.where((F.col("members") <= BLOCK) & (F.col("cid") != F.col("pivot"))).withColumns({"tree": F.xxhash64("block"), "asks": F.lit(True), "holds": F.lit(True)})
     pick = lambda d: d.select("tree", "cid", "n", "comp", "asks", "holds")
@@ -339,6 +357,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     dealt = dealt.withColumn("g", F.pmod("tree", F.lit(groups))).join(points.select("cid", "vec"), "cid")
     more = dealt.groupBy("g").applyInArrow(lambda t: _tree_join(t, percent), "a long, b long").distinct()
     links = links.union(classes.verified(more))
+    dropped(m, points)
 
     # Rows of one id are one document, whatever their texts.
     twice = every.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.countDistinct("key1", "key2", "n").alias("texts")).where("texts > 1")
