@@ -188,10 +188,9 @@ class _Classes:
         named = self.every.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("rep"))
         self.named = staged(named, "jaccard-classes")
         firsts = self.named.where("rep is not null").select("cid", "rep")
-        firsts = made.join(firsts, F.col("rid") == F.col("cid"))
-        self.points = staged(firsts.select("cid", "n", "vec"), "jaccard-points")
-        self.sketches = staged(firsts.select("cid", "n", "p", "sketch"), "jaccard-sketches")
+        self.sketches = staged(made.join(small(firsts, 16), F.col("rid") == F.col("cid")).select("cid", "n", "p", "vec", "sketch"), "jaccard-sketches")
         dropped(made)
+        self.points = staged(self.sketches.select("cid", "n", "vec"), "jaccard-points")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(cid, n, p, s) of the classes wanted (cid)."""
