@@ -38,6 +38,174 @@ class Signature:
     base: bool = False
 
 
+#: Rules written out for sentences of license texts and notices: label, keyword, pattern, weight.
+WRITTEN = (
+    # MIT and its kin
+    ("mit", "to deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 1.0),
+    ("mit", "above copyright notice and this permission", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions", 1.0),
+    ("mit", "in no event shall the authors", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", 0.9),
+    ("mit", "terms of the mit", r"(?:under|by|with) the terms of the mit licen[cs]e", 0.95),
+    ("mit", "mit style", r"mit style licen[cs]e", 0.8),
+    ("mit", "mit or apache", r"mit or apache 2 0", 0.9),
+    ("mit-0", "mit no attribution", r"mit no attribution(?: licen[cs]e)?", 0.95),
+    ("mit-0", "mit 0", r"mit 0 licen[cs]e", 0.9),
+    ("x11", "x11 licen", r"x11 licen[cs]e", 0.9),
+    ("x11", "except as contained in this notice", r"except as contained in this notice the names? of (?:[^ ]+ ){1,8}?shall not be used in advertising", 1.0),
+    ("expat", "expat licen", r"expat licen[cs]e", 0.9),
+    ("json", "shall be used for good", r"the software shall be used for good not evil", 1.0),
+    ("ncsa", "university of illinois", r"university of illinois (?:ncsa )?(?:open source )?licen[cs]e", 0.95),
+    # ISC, HPND, and short permissive grants
+    ("isc", "author disclaims all warranties", r"the author disclaims all warranties with regard to this software", 0.9),
+    ("0bsd", "zero clause bsd", r"zero clause bsd(?: licen[cs]e)?", 0.95),
+    ("0bsd", "0bsd", r"0bsd", 0.9),
+    ("hpnd", "historical permission notice", r"historical permission notice and disclaimer", 0.95),
+    ("hpnd", "without fee is hereby granted", r"permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted", 0.95),
+    ("curl", "curl licen", r"curl licen[cs]e", 0.9),
+    ("ntp", "ntp licen", r"ntp licen[cs]e", 0.9),
+    ("postgresql", "postgresql licen", r"postgresql licen[cs]e", 0.95),
+    ("postgresql", "without a written agreement", r"without a written agreement is hereby granted provided that the above copyright notice", 0.95),
+    ("beerware", "beerware", r"(?:the )?beerware licen[cs]e", 0.95),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return", 0.95),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to(?: public licen[cs]e)?", 1.0),
+    ("fair", "usage of the works is permitted", r"usage of the works is permitted provided that this instrument is retained", 1.0),
+    ("fsfap", "copying and distribution of this file", r"copying and distribution of this file with or without modification are permitted in any medium without royalty", 1.0),
+    ("fsful", "unlimited permission to copy", r"gives unlimited permission to copy and or distribute it", 1.0),
+    ("blue-oak", "blue oak", r"blue oak model licen[cs]e(?: 1 0 0)?", 0.95),
+    ("upl", "universal permissive", r"universal permissive licen[cs]e(?: v(?:ersion)? ?1 0)?", 0.95),
+    ("mulan", "mulan", r"mulan (?:psl|permissive software licen[cs]e)(?: v(?:ersion)? ?[12])?", 0.95),
+    ("afmparse", "afmparse", r"afmparse licen[cs]e", 0.8),
+    ("libpng", "libpng", r"libpng licen[cs]e(?: version 2)?", 0.9),
+    ("libpng", "png reference library", r"png reference library licen[cs]e(?: version 2)?", 0.9),
+    ("zlib", "origin of this software must not", r"the origin of this software must not be misrepresented", 1.0),
+    ("zlib", "altered source versions", r"altered source versions must be plainly marked as such", 1.0),
+    ("bzip2", "bzip2", r"bzip2 (?:and libbzip2 )?licen[cs]e", 0.9),
+    ("ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group", 1.0),
+    ("openssl", "openssl", r"openssl licen[cs]e", 0.9),
+    ("openssl", "openssl toolkit", r"developed by the openssl project for use in the openssl toolkit", 1.0),
+    ("ssleay", "eric young", r"includes cryptographic software written by eric young", 1.0),
+    ("ruby", "ruby licen", r"ruby licen[cs]e", 0.85),
+    ("ruby", "ruby s licen", r"ruby s licen[cs]e", 0.85),
+    ("tcl", "tcl", r"tcl tk licen[cs]e", 0.85),
+    ("unicode", "unicode", r"unicode (?:inc )?licen[cs]e agreement(?: data files and software)?", 0.95),
+    ("vim", "vim licen", r"vim licen[cs]e", 0.9),
+    ("w3c", "w3c", r"w3c (?:software (?:notice )?(?:and document )?(?:notice )?(?:and )?)licen[cs]e", 0.95),
+    ("icu", "icu licen", r"icu licen[cs]e", 0.9),
+    ("info-zip", "info zip", r"info zip licen[cs]e", 0.9),
+    ("imagemagick", "imagemagick", r"imagemagick licen[cs]e", 0.9),
+    ("freetype", "freetype", r"(?:the )?freetype (?:project )?licen[cs]e", 0.95),
+    # BSD clauses and notices
+    ("bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice", 1.0),
+    ("bsd", "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice", 1.0),
+    ("bsd-3-clause", "to endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission", 1.0),
+    ("bsd-4-clause", "advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1.0),
+    ("bsd", "regents of the university", r"(?:copyright |by )the regents of the university of california", 0.8),
+    ("bsd", "bsd style", r"governed by a bsd style licen[cs]e", 0.95),
+    ("bsd", "bsd", r"(?:two|three|four) clause bsd(?: licen[cs]e)?", 0.9),
+    ("bsd-3-clause", "bsd", r"(?:revised|new) bsd", 0.75),
+    ("bsd-2-clause", "freebsd", r"freebsd (?:documentation )?licen[cs]e", 0.9),
+    ("bsd-2-clause-patent", "bsd", r"bsd (?:2 clause )?plus patent(?: licen[cs]e)?", 0.95),
+    # Apache and Mozilla
+    ("apache-2.0", "apache org licenses", r"(?:http |https )?(?:www )?apache org licenses licen[cs]e 2 0", 1.0),
+    ("apache-2.0", "in compliance with the licen", r"you may not use (?:this|these) (?:file|work|software|files) except in compliance with the licen[cs]e", 0.95),
+    ("apache-2.0", "licensed to the apache software", r"licensed to the apache software foundation asf under one or more contributor licen[cs]e agreements", 1.0),
+    ("apache-1.1", "developed by the apache software", r"this product includes software developed by the apache software foundation", 0.95),
+    ("apache-2.0", "as is basis", r"distributed on an as is basis without warranties or conditions of any kind", 0.9),
+    ("apache-2.0", "apache 2", r"apache 2(?: 0)?(?: licen[cs]ed?)?", 0.75),
+    ("mpl", "subject to the terms of the mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e(?: v ?2 0)?", 1.0),
+    ("mpl", "contents of this file are subject to the mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e", 1.0),
+    ("mpl", "mozilla org", r"mozilla org mpl(?: 2 0)?", 0.9),
+    ("npl", "netscape public", r"netscape public licen[cs]e(?: version 1 [01])?", 0.95),
+    ("mpl-no-copyleft", "incompatible with secondary", r"incompatible with secondary licenses", 0.9),
+    # GNU
+    ("gpl", "published by the free software foundation", r"published by the free software foundation", 0.8),
+    ("gpl", "you should have received a copy of the gnu", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[cs]e", 1.0),
+    ("gpl", "see the gnu", r"see the gnu (?:lesser |library |affero )?general public licen[cs]e for more details", 1.0),
+    ("gpl", "everyone is permitted to copy", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document", 1.0),
+    ("gpl", "gnu gpl", r"gnu gpl(?: v ?[123])?", 0.85),
+    ("lgpl", "gnu lgpl", r"gnu lgpl(?: v ?[23](?: [01])?)?", 0.85),
+    ("agpl", "gnu agpl", r"gnu agpl(?: v ?3)?", 0.85),
+    ("gpl-classpath", "classpath", r"(?:subject to the )?classpath exception", 0.95),
+    ("gpl-linking-exception", "as a special exception", r"as a special exception (?:[^ ]+ ){0,12}?(?:link|permission)", 0.8),
+    ("gcc-exception", "gcc runtime", r"gcc runtime library exception", 0.95),
+    ("bison-exception", "bison parser skeleton", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 1.0),
+    ("autoconf-exception", "autoconf", r"configuration script generated by autoconf", 0.9),
+    ("font-exception", "font exception", r"(?:gpl )?font exception", 0.85),
+    ("linux-syscall-note", "linux syscall", r"linux syscall note", 0.95),
+    ("gpl", "dual licensed", r"dual licensed under (?:the )?(?:gnu )?gpl", 0.9),
+    ("gfdl", "invariant sections", r"with no invariant sections", 0.9),
+    ("copyleft", "copyleft", r"copyleft(?: licen[cs]es?)?", 0.4),
+    # Other reciprocal licenses
+    ("epl", "accompanying materials are made available", r"this program and the accompanying materials are made available under the terms of", 0.9),
+    ("epl", "eclipse org legal", r"eclipse org legal epl(?: v ?(?:10|20|1 0|2 0))?", 0.95),
+    ("edl", "eclipse distribution", r"eclipse distribution licen[cs]e(?: v ?1 0)?", 0.95),
+    ("cddl", "cddl", r"cddl(?: v(?:ersion)?)?(?: ?1 [01])?", 0.85),
+    ("ipl", "ibm public", r"ibm public licen[cs]e(?: version 1 0)?", 0.95),
+    ("ms-pl", "microsoft public", r"microsoft public licen[cs]e(?: ms pl)?", 0.95),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal licen[cs]e(?: ms rl)?", 0.95),
+    ("apsl", "apple public source", r"apple public source licen[cs]e(?: version)?(?: [12] [0-2])?", 0.95),
+    ("cpal", "common public attribution", r"common public attribution licen[cs]e(?: version)?(?: 1 0)?", 0.95),
+    ("cecill", "cecill", r"cecill(?: (?:a|b|c))?(?: free software)?(?: licen[cs]e)?(?: agreement)?", 0.9),
+    ("eupl", "eupl", r"eupl(?: v(?:ersion)?)?(?: ?1 [012])?", 0.85),
+    ("qpl", "q public", r"q public licen[cs]e", 0.95),
+    ("sleepycat", "sleepycat", r"sleepycat (?:software )?(?:public )?licen[cs]e", 0.95),
+    ("spl", "sun public", r"sun public licen[cs]e", 0.95),
+    ("sissl", "sun industry standards", r"sun industry standards source licen[cs]e", 0.95),
+    ("nasa", "nasa open source", r"nasa open source agreement(?: version 1 3)?", 0.95),
+    ("lppl", "latex project", r"latex project public licen[cs]e(?: version 1 [0-3][a-c]?)?", 0.95),
+    ("lpl", "lucent public", r"lucent public licen[cs]e", 0.95),
+    ("rpl", "reciprocal public", r"reciprocal public licen[cs]e(?: 1 [15])?", 0.95),
+    ("rpsl", "realnetworks public", r"realnetworks public source licen[cs]e", 0.95),
+    ("vsl", "vovida", r"vovida software licen[cs]e", 0.95),
+    ("watcom", "sybase open", r"sybase open watcom public licen[cs]e", 0.95),
+    ("nokia", "nokia open source", r"nokia open source licen[cs]e", 0.95),
+    ("eiffel", "eiffel forum", r"eiffel forum licen[cs]e(?: version 2)?", 0.95),
+    ("ecl", "educational community", r"educational community licen[cs]e(?: version)?(?: [12] 0)?", 0.95),
+    ("ofl", "reserved font name", r"with reserved font name", 0.9),
+    ("ofl", "scripts sil org ofl", r"scripts sil org ofl", 0.95),
+    ("parity", "parity public", r"parity public licen[cs]e", 0.95),
+    ("cern-ohl", "cern open hardware", r"cern open hardware licen[cs]e(?: version \d(?: \d)?)?(?: (?:strongly reciprocal|weakly reciprocal|permissive))?", 0.95),
+    ("tapr", "tapr open hardware", r"tapr open hardware licen[cs]e", 0.95),
+    # Content, data and model licenses
+    ("cc0", "waived all copyright", r"(?:has )?waived all copyright and related or neighbou?ring rights", 1.0),
+    ("cc0", "creativecommons org publicdomain", r"creativecommons org publicdomain zero(?: 1 0)?", 1.0),
+    ("cc", "creativecommons org licenses", r"creativecommons org licenses [a-z]+(?: [a-z]+)?(?: [a-z]+)? \d \d", 1.0),
+    ("cc", "some rights reserved", r"some rights reserved", 0.6),
+    ("cc-sampling", "sampling plus", r"(?:creative commons )?sampling plus(?: 1 0)?", 0.8),
+    ("unlicense", "free and unencumbered", r"this is free and unencumbered software released into the public domain", 1.0),
+    ("public-domain", "no copyright is claimed", r"no copyright is claimed", 0.8),
+    ("public-domain", "a work of the", r"(?:is )?a work of the (?:u s|united states) government", 0.8),
+    ("odc-by", "open data commons", r"open data commons attribution licen[cs]e", 0.95),
+    ("odbl", "open data commons", r"open data commons open database licen[cs]e", 0.95),
+    ("pddl", "open data commons", r"open data commons public domain dedication and licen[cs]e", 0.95),
+    ("cdla", "community data", r"community data licen[cs]e agreement(?: (?:permissive|sharing))?(?: version)?(?: [12] 0)?", 0.95),
+    ("ogl-uk", "open government licen", r"open government licen[cs]e(?: v ?[123](?: 0)?)?", 0.9),
+    ("etalab", "licence ouverte", r"licence ouverte(?: open licence)?", 0.9),
+    ("free-art", "free art", r"free art licen[cs]e(?: 1 3)?", 0.9),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?", 0.9),
+    ("openrail", "open rail", r"(?:creativeml |bigscience )?open rail(?: m)?(?: licen[cs]e)?", 0.9),
+    # Source-available, commercial and reserved
+    ("commons-clause", "commons clause", r"commons clause(?: licen[cs]e)?(?: condition)?", 0.95),
+    ("elastic", "elastic licen", r"elastic licen[cs]e(?: 2 0)?", 0.95),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|strict|shield|free trial|internal use|perimeter) licen[cs]e(?: 1 0 0)?", 0.95),
+    ("prosperity", "prosperity public", r"prosperity public licen[cs]e", 0.95),
+    ("non-commercial", "non commercial use", r"(?:for )?non commercial use only", 0.7),
+    ("non-commercial", "noncommercial use", r"(?:for )?noncommercial use only", 0.7),
+    ("non-commercial", "commercial use", r"not for commercial use", 0.7),
+    ("evaluation", "evaluation purposes", r"for evaluation purposes only", 0.7),
+    ("eula", "end user licen", r"end user licen[cs]e agreement", 0.8),
+    ("eula", "by installing", r"by installing (?:(?:or|copying|and|otherwise) )*using the software you agree", 0.8),
+    ("proprietary", "strictly prohibited", r"unauthori[sz]ed copying (?:of this file )?(?:via any medium )?is strictly prohibited", 0.9),
+    ("proprietary", "trade secret", r"(?:contains|constitutes?) (?:confidential )?(?:information and )?trade secrets?", 0.7),
+    ("proprietary", "may be reproduced", r"no part of this (?:publication|book|work|document) may be reproduced", 0.8),
+    ("proprietary", "used with permission", r"used with permission", 0.4),
+    ("reserved", "rights not expressly", r"(?:all )?rights not expressly granted (?:herein )?are reserved", 0.8),
+    ("warranty", "merchantability", r"merchantability (?:and |or )?fitness for a particular purpose", 0.6),
+    ("warranty", "no event shall", r"in no event shall (?:[^ ]+ ){1,8}?be liable", 0.6),
+    ("warranty", "use at your own risk", r"use at your own risk", 0.3),
+    ("cla", "contributor licen", r"(?:individual |corporate )?contributor licen[cs]e agreement", 0.6),
+    ("dco", "developer certificate", r"developer certificate of origin(?: version 1 1)?", 0.6),
+)
+
 _VERSION = r"(?:version |v )?"
 
 
@@ -68,7 +236,7 @@ def signatures() -> tuple[Signature, ...]:
         ("gfdl", rf"{gnu}free documentation licen[cs]e", ("1.1", "1.2", "1.3")),
     ):
         rules += _family(label, "free documentation" if label == "gfdl" else "general public", name, versions, True)
-        rules.append(Signature(label, label, rf"{label} (?:v ?)?(?:\d+)?(?: \d+)?", 0.7))
+        rules.append(Signature(label, label, rf"{label}(?: (?:v ?)?\d+(?: \d+)?)?", 0.7))
     for label, keyword, name, versions in (
         ("apache", "apache", r"apache (?:software )?licen[cs]e", ("1.0", "1.1", "2.0")), ("mpl", "mozilla", r"mozilla public licen[cs]e", ("1.0", "1.1", "2.0")),
         ("epl", "eclipse", r"eclipse public licen[cs]e", ("1.0", "2.0")), ("cddl", "development and distribution", r"common development and distribution licen[cs]e", ("1.0", "1.1")),
@@ -106,6 +274,7 @@ def signatures() -> tuple[Signature, ...]:
         ("copyright", "copyright", r"copyright (?:c |\(c\) )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 0.5), ("spdx", "spdx", r"spdx license identifier [a-z0-9]+(?: \d+)*", 0.9),
     ):
         rules.append(Signature(label, keyword, pattern, weight))
+    rules += [Signature(*r) for r in WRITTEN]
     return tuple(rules)
 
 

@@ -49,14 +49,13 @@ def licenses(text):
 
 
 def license_detections(text, rules):
-    """Surviving and base detections (start, end, label, weight, base) of ordered rules, by comparing all pairs."""
+    """Surviving and base detections (start, end, label, weight, base) of ordered rules, by comparing all pairs, without any keywords."""
     joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or ""))
     found = []
     for rank, r in enumerate(rules):
-        if r.keyword in joined.lower():
-            for m in re.finditer(rf"(?is)(?<![^ ]){r.pattern}(?![^ ])", joined):
-                a = joined[: m.start()].count(" ")
-                found.append((a, a + m[0].count(" "), rank, r))
+        for m in re.finditer(rf"(?is)(?<![^ ]){r.pattern}(?![^ ])", joined):
+            a = joined[: m.start()].count(" ")
+            found.append((a, a + m[0].count(" "), rank, r))
     inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (y[:2] != x[:2] or y[2] < x[2])
     kept = [x for x in found if x[3].base or not any(inside(x, y) for y in found if not y[3].base)]
     return sorted((a, b, r.label, r.weight, r.base) for a, b, _, r in kept)
