@@ -50,18 +50,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing will read any more: what was made of them must be staged itself.
+def swept(spark: SparkSession) -> None:
+    """Asks the driver's JVM to collect garbage, since Spark keeps the shuffles of finished jobs until it does."""
+    spark._jvm.System.gc()
 
-    The driver's JVM is asked to collect garbage, since Spark keeps the shuffles of finished jobs until it does.
-    """
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read any more: what was made of them must be staged itself."""
     for df in tables:
         jvm, path = df.sparkSession._jvm, df.__dict__.get("_staged_at")
         if path:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
     if tables:
-        jvm.System.gc()
+        swept(tables[0].sparkSession)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = 8 << 20) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder, staged, texts
+from tessera.llm.common import remainder, staged, swept, texts
 from tessera.llm.hashing import mix, slices, word_hashes
 
 #: Mass of the failure arcs of words and of pairs; tokens of a segment; bytes of text a group; bytes of text whose n-grams fill a bucket.
@@ -224,8 +224,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sent = packs.select("g", "train", "texts").mapInArrow(counted, "b int, g long, keys binary, counts binary")
     back = sent.groupBy("b").applyInArrow(merged, "g long, b int, tokens long, vocabulary long, starts long, totals binary")
     back = staged(back, "lm")
+    del sent
     whole = back.where("g = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "vocabulary", "starts"))).first()
     sizes = (whole["tokens"], whole["vocabulary"], whole["starts"])
+    # The n-grams that were sent are not read again, and would lie on disk beside the next shuffle. Not before this job: Spark lets go of the last one late.
+    swept(docs.sparkSession)
 
     def scored(table: pa.Table, news: pa.Table) -> pa.Table:
         out = []
