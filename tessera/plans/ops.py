@@ -145,7 +145,7 @@ _add("join_bushy", _bushy, "select n_name, cast(sum(l_quantity) as decimal(38,2)
 
 def _index(t: Tables) -> DataFrame:
     wanted = t.raw("customer").select(c("c_custkey").alias("k"))
-    return index_lookup(t.raw("orders"), "o_custkey", "o_orderkey", wanted, "k").select("k", F.size("hits").cast("long").alias("n"), F.element_at("hits", F.when(F.size("hits") > 0, 1).otherwise(F.lit(None))).alias("first"))
+    return index_lookup(t.raw("orders"), "o_custkey", "o_orderkey", wanted, "k").select("k", F.size("hits").cast("long").alias("n"), F.get("hits", F.lit(0)).alias("first"))
 
 
 _add("index_lookup", _index, 'select c_custkey as k, count(o_orderkey) as n, min(o_orderkey) as "first" from customer left join orders on c_custkey = o_custkey group by 1')

@@ -12,6 +12,7 @@ from tessera.operators import fixed_aggregation, hash_group, hash_join, index_lo
 from tessera.plans import ops, ssb, tpch
 from tessera.sources import Star, Tables
 from tessera.streaming import stream_group
+from tests.oracle import compare, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,6 +57,17 @@ def test_dates_partitions_and_lookups(spark):
     assert all(r["hits"] == ([r["q"]] if r["q"] < 1000 else []) for r in hits.collect()) and hits.count() == 2000
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_lookup_of_customers_without_orders(spark, tmp_path, threshold):
+    table(spark, "c_custkey long", range(40)).write.parquet(f"{tmp_path}/customer.parquet")
+    table(spark, "o_orderkey long, o_custkey long", [5, 3, 4, 7, None], [1, 1, 2, None, 3]).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        assert compare(ops.QUERIES["op_index_lookup"](Tables(spark, str(tmp_path))), tables(str(tmp_path)), ops.ORACLE["op_index_lookup"]) == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_relation_written_and_read(spark, tmp_path):
     t = table(spark, "a bigint, b int", [7 * i for i in range(80)], range(80))
     t.write.parquet(f"{tmp_path}/t")
