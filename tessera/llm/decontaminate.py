@@ -72,20 +72,34 @@ def window(words: int) -> tuple[int, int]:
     return size, clean - size + 1
 
 
-def ballots(h: np.ndarray) -> np.ndarray:
-    """votes[k]: for each bit, how many of the first k words have it, twice, less k."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8)
-    out = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(2 * bits - 1, axis=0, out=out[1:])
-    return out
-
+def simhash(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows that start there: bits that more than half of the words have.
 
-def simhash(votes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows that start there: bits that more than half of the words have."""
+    The words that have a bit are counted for all 64 bits of a number at once: planes[k] holds the numbers that count 2**k each.
+    """
     out = np.empty(len(starts), np.uint64)
-    for k in range(0, len(starts), 1 << 15):
-        at = starts[k : k + (1 << 15)]
-        out[k : k + len(at)] = np.packbits(votes[at + size] > votes[at], axis=1, bitorder="little").view("<u8").ravel()
+    for at in range(0, len(starts), 1 << 14):
+        part = starts[at : at + (1 << 14)]
+        planes = [[h[part + k] for k in range(size)]]
+        for plane in planes:
+            carries = []
+            while len(plane) > 1:
+                a, b = plane.pop(), plane.pop()
+                either = a ^ b
+                if plane:
+                    c = plane.pop()
+                    plane.append(either ^ c)
+                    carries.append((a & b) | (either & c))
+                else:
+                    plane.append(either)
+                    carries.append(a & b)
+            if carries:
+                planes.append(carries)
+        # Counts of size // 2 + 1 or more, from the lowest bit up.
+        enough = np.full(len(part), ~np.uint64(0))
+        for k, (count,) in enumerate(planes):
+            enough = count & enough if (size // 2 + 1) >> k & 1 else count | enough
+        out[at : at + len(part)] = enough
     return out
 
 
@@ -100,24 +114,24 @@ class HammingIndex:
 
     def __init__(self, codes: np.ndarray):
         self.codes, self.tables = codes, []
-        for k in range(RADIUS + 1):
-            value = self._block(codes, k)
-            self.tables.append((np.argsort(value, kind="stable"), np.r_[0, np.cumsum(np.bincount(value, minlength=1 << BLOCK_BITS))]))
+        for value in self._blocks(codes):
+            sizes = np.bincount(value, minlength=1 << BLOCK_BITS)
+            self.tables.append((np.argsort(value, kind="stable"), np.r_[0, np.cumsum(sizes)], sizes > 0))
 
     @staticmethod
-    def _block(codes: np.ndarray, k: int) -> np.ndarray:
-        return ((codes >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+    def _blocks(codes: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(codes.astype("<u8").view(f"<u{BLOCK_BITS // 8}").reshape(-1, RADIUS + 1).T)
 
     def near(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place among the codes asked, place among those held) of all pairs; one may come twice."""
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k, (order, ends) in enumerate(self.tables):
-            value = self._block(codes, k)
-            size = ends[value + 1] - ends[value]
-            some = np.flatnonzero(size)
+        for value, (order, ends, held_any) in zip(self._blocks(codes), self.tables, strict=True):
+            some = np.flatnonzero(held_any[value])
             for a in range(0, len(some), 1 << 16):
                 part = some[a : a + (1 << 16)]
-                q, held = np.repeat(part, size[part]), order[spread(ends[value[part]], size[part])]
+                first = ends[value[part]]
+                size = ends[value[part].astype(np.int64) + 1] - first
+                q, held = np.repeat(part, size), order[spread(first, size)]
                 close = np.bitwise_count(codes[q] ^ self.codes[held]) <= RADIUS
                 out.append((q[close], held[close]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -165,7 +179,6 @@ class Items:
         sizes = np.diff(at)
         self.width = np.minimum(sizes, SHINGLE)
         self.shingles = [np.unique(runs(h[a:b], min(b - a, SHINGLE)), return_counts=True) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        votes = ballots(h)
         chosen: dict[int, list[tuple[int, int]]] = {}
         for k, n in enumerate(sizes.tolist()):
             if n:
@@ -175,18 +188,18 @@ class Items:
         for size, members in sorted(chosen.items()):
             item = np.array([k for k, _ in members])
             counts = sizes[item] - size + 1
-            index = HammingIndex(simhash(votes, spread(at[:-1][item], counts), size))
+            index = HammingIndex(simhash(h, spread(at[:-1][item], counts), size))
             self.windows.append((size, min(step for _, step in members), np.repeat(item, counts), index))
 
     def matches(self, column: pa.Array) -> list[tuple[int, object, int, int, float]]:
         """(text, item, first word, words, similarity) of copies, the best for each text and item."""
         h, at = word_hashes(column, ALNUM)
         h = mix(h)
-        votes, every, out = ballots(h), {}, []
+        out = []
         for size, step, owner, index in self.windows:
             counts = np.maximum(0, (np.diff(at) - size) // step + 1)
             places = spread(at[:-1], counts, step)
-            q, held = index.near(simhash(votes, places, size))
+            q, held = index.near(simhash(h, places, size))
             place, item = places[q], owner[held]
             text = np.searchsorted(at, place, "right") - 1
             # Found places by text and item, in order.
@@ -197,12 +210,10 @@ class Items:
                 k, doc = int(item[a]), int(text[a])
                 kinds, counts_of = self.shingles[k]
                 width, most = int(self.width[k]), reach(int(counts_of.sum()))[1]
-                if width not in every:
-                    every[width] = runs(h, width)
                 # A run that holds a window is no longer than ``most`` shingles.
                 first = max(int(at[doc]), int(place[a]) + size - most - width + 1)
                 last = min(int(at[doc + 1]) - width, int(place[b - 1]) + most - 1)
-                found = best_run(every[width][first : last + 1], kinds, counts_of) if first <= last else None
+                found = best_run(runs(h[first : last + width], width), kinds, counts_of) if first <= last else None
                 if found:
                     s, p, length = found
                     out.append((doc, k, first + p - int(at[doc]), length + width - 1, s))

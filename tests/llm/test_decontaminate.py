@@ -1,6 +1,7 @@
 """Decontamination: recall on edited copies of the stored items, the index by brute force, odd tables."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,26 @@ def test_index_finds_all_within_the_radius():
     assert found == {(a, b) for a in range(300) for b in range(300) if int(asked[a] ^ held[b]).bit_count() <= decontaminate.RADIUS}
 
 
+def test_fingerprints_are_majorities_of_bits():
+    h = np.random.default_rng(4).integers(0, 1 << 64, 90, dtype=np.uint64)
+    h[20:60] = h[20]
+    for size in decontaminate.SIZES:
+        starts = np.arange(len(h) - size + 1)
+        plain = [sum(1 << bit for bit in range(64) if 2 * sum(int(x) >> bit & 1 for x in h[a : a + size]) > size) for a in starts.tolist()]
+        assert decontaminate.simhash(h, starts, size).tolist() == plain
+
+
+def test_words_are_not_spread_into_counters_of_bits():
+    """Bytes that a text takes while it is matched, which 64 counters a word made 600 and more."""
+    text = pa.array([" ".join(f"w{k % 5000}" for k in range(100_000))], pa.large_string())
+    items = decontaminate.Items([("i", " ".join(f"i{k}" for k in range(60)))])
+    tracemalloc.start()
+    items.matches(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 100_000
+
+
 def test_windows_lie_within_every_stretch():
     for words in [*range(1, 130), 400, 2000]:
         clean, (size, step) = decontaminate.stretch(words), decontaminate.window(words)
