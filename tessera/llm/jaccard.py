@@ -3,7 +3,9 @@
 A document's shingles are hashed into ``DIMS`` groups; the group counts are a
 point, and the sum of the smaller coordinates of two points bounds the overlap
 of their sets. R-trees over such points find the pairs that can reach the
-threshold, and the pairs are verified on the sets.
+threshold, and the pairs are verified on the sets. In few groups any two long sets are alike, and texts
+that are not quite near copies: so sets of over ``FULL`` shingles a group are counted in more groups, of which the
+point is the fold, and pairs leave a tree only if they pass the bound by these too.
 
 No task sees all points. Documents with one set are one class, of which only
 the first is compared. Classes meet in blocks, one for each shingle of their
@@ -11,7 +13,8 @@ prefixes: of two sets at the threshold, those parts of either that stand first i
 shingles, and are one larger than what the other may lack, have a shingle in common. So every
 pair meets, whatever the order. The order is by hash, but shingles whose block
 would have over ``BLOCK`` classes come last: only classes that have next to nothing else go to these
-hot blocks.
+hot blocks. Of blocks with the same classes one is left: all shingles of a shared passage
+make the same pairs.
 
 First each class is held against the first of its blocks, which links the
 copies of one text in linear time. Then the blocks that still hold several
@@ -41,6 +44,8 @@ from tessera.llm.hashing import mix, runs, slices, word_hashes
 
 WORDS, PERCENT = 4, 85
 DIMS, BLOCK, TILE, LEAF = 128, 64, 1000, 16
+#: Shingles a group from which a set has twice as many groups, and most groups.
+FULL, MOST_DIMS = 1, 4096
 
 
 def shingle_sets(column: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -73,19 +78,46 @@ def prefix(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """A point as one byte a count if all fit, else four."""
+def dims(n: np.ndarray | int) -> np.ndarray:
+    """Groups that sets of ``n`` shingles are counted in."""
+    out = np.full(np.shape(n), DIMS)
+    while (more := (out * FULL < n) & (out < MOST_DIMS)).any():
+        out = np.where(more, 2 * out, out)
+    return out
+
+
+def counted(s: np.ndarray) -> bytes:
+    """A set's group counts as one byte a count if all fit, else four."""
+    size = int(dims(len(s)))
+    counts = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<i4").tobytes()
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.empty((len(rows), DIMS), np.int32)
-    for k, raw in enumerate(rows):
-        out[k] = np.frombuffer(raw, np.uint8 if len(raw) == DIMS else "<i4")
+def folded(raws: list[bytes], sizes: np.ndarray, to: int = DIMS) -> np.ndarray:
+    """Counts of sets of these sizes, in ``to`` groups, which all have at least."""
+    out = np.empty((len(raws), to), np.int32)
+    for k, (raw, own) in enumerate(zip(raws, dims(sizes).tolist(), strict=True)):
+        out[k] = np.frombuffer(raw, np.uint8 if len(raw) == own else "<i4").reshape(-1, to).sum(axis=0, dtype=np.int64)
     return out
 
 
+def can_link(raws: list[bytes], sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT, at_once: int = 1 << 20) -> np.ndarray:
+    """Which pairs of rows pass the bound by all groups that both are counted in."""
+    own = dims(sizes)
+    level = np.minimum(own[a], own[b])
+    fits = np.zeros(len(a), bool)
+    for to in np.unique(level).tolist():
+        pairs = np.flatnonzero(level == to)
+        rows, at = np.unique(np.r_[a[pairs], b[pairs]], return_inverse=True)
+        counts, x, y = folded([raws[k] for k in rows.tolist()], sizes[rows], to), at[: len(pairs)], at[len(pairs) :]
+        step = max(1, at_once // to)
+        for i in range(0, len(pairs), step):
+            part = pairs[i : i + step]
+            overlap = np.minimum(counts[x[i : i + step]], counts[y[i : i + step]]).sum(axis=1, dtype=np.int64)
+            fits[part] = (100 + percent) * overlap >= percent * (sizes[a[part]] + sizes[b[part]])
+    return fits
+
+
 def features(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row a document; sketch: its prefix and half as many shingles behind it."""
 
@@ -99,7 +131,7 @@ def features(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
                     {
                         "doc_id": part.column(0), "rid": part.column(2), "n": pa.array([len(s) for s in sets], pa.int64()), "p": pa.array(sizes, pa.int32()),
                         "key1": pa.array([k[0] for k in keys], pa.int64()), "key2": pa.array([k[1] for k in keys], pa.int64()),
-                        "vec": pa.array([packed(np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS)) for s in sets], pa.binary()),
+                        "vec": pa.array([counted(s) for s in sets], pa.binary()),
                         "sketch": pa.array([ordered(s)[: p + p // 2 + 8] for s, p in zip(sets, sizes, strict=True)], pa.list_(pa.int64())),
                     }
                 )
@@ -162,7 +194,8 @@ def _tree_join(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Pairs that pass the bound and are not known to be linked, for each tree of the table; queries: rows marked so, points: the rows marked so."""
     trees, ids, sizes, comp = (table[x].to_numpy() for x in ("tree", "cid", "n", "comp"))
     asks, holds = (table[x].to_numpy(zero_copy_only=False) for x in ("asks", "holds"))
-    vecs = unpacked(table["vec"])
+    raws = table["vec"].to_pylist()
+    vecs = folded(raws, sizes)
     order = np.argsort(trees, kind="stable")
     pairs = [np.zeros((0, 2), np.int64)]
     for rows in np.split(order, np.flatnonzero(np.diff(trees[order])) + 1):
@@ -171,6 +204,8 @@ def _tree_join(table: pa.Table, percent: int = PERCENT) -> pa.Table:
             q, at = RTree(vecs[points], sizes[points]).query(vecs[queries], sizes[queries], percent)
             a, b = queries[q], points[at]
             other = comp[a] != comp[b]
+            a, b = a[other], b[other]
+            other = can_link(raws, sizes, a, b, percent)
             a, b = ids[a[other]], ids[b[other]]
             pairs.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
     every = np.unique(np.concatenate(pairs), axis=0)
@@ -222,19 +257,19 @@ class _Classes:
         dropped(asked, out)
         return once
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of classes (a, b) that reach the threshold: by the bound of their points, by a finer bound, then by their sets."""
+    def verified(self, pairs: DataFrame, bounded: bool = False) -> DataFrame:
+        """Pairs of classes (a, b) that reach the threshold: by the bound of their counts unless ``bounded``, by a finer bound, then by their sets."""
         percent = self.percent
         side = lambda x: self.points.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("vec").alias(f"v{x}"))
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 a, b, na, nb = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("a", "b", "na", "nb"))
-                va, vb = (unpacked(batch.column(batch.schema.get_field_index(x))) for x in ("va", "vb"))
-                fits = (100 + percent) * np.minimum(va, vb).sum(axis=1, dtype=np.int64) >= percent * (na + nb)
+                raws = [raw for x in ("va", "vb") for raw in batch.column(batch.schema.get_field_index(x)).to_pylist()]
+                fits = can_link(raws, np.r_[na, nb], np.arange(len(a)), len(a) + np.arange(len(a)), percent)
                 yield pa.record_batch({"a": pa.array(a[fits]), "b": pa.array(b[fits])})
 
-        near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
+        near = pairs if bounded else pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, "a long, b long")
         near = staged(near, "jaccard-near")
         sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("cid")))
         # Long texts pass the points' bound by chance, and their sets are large: first by finer groups, of two bytes a shingle. A group
@@ -309,6 +344,12 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
+def one_of_alike(rows: DataFrame) -> DataFrame:
+    """(block, weight) of one block for each set of classes, of ``rows`` (cid, block, members); weight: the blocks that have this set, told by 128 bits."""
+    sums = rows.groupBy("block", "members").agg(F.bit_xor(F.xxhash64("cid")).alias("k1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("k2"))
+    return sums.groupBy("members", "k1", "k2").agg(F.min("block").alias("block"), F.count(F.lit(1)).alias("weight")).select("block", "weight")
+
+
 def _tiled(m: DataFrame, percent: int) -> DataFrame:
     """Rows of hot blocks, dealt to trees: a tile has at most about ``TILE`` points of one size and ``TILE`` rows that ask them."""
     band = math.log(100 / percent) + 1e-9
@@ -331,14 +372,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     classes = _Classes(docs, words, percent, id_col, text_col)
     every, points = classes.every, classes.points
     placed = classes.blocks()
-    counted = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met_in = staged(placed.join(counted, "block"), "jaccard-members")
+    held = placed.groupBy("block").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = staged(placed.join(held, "block"), "jaccard-shared")
     dropped(placed)
+    alike = one_of_alike(shared)
+    met_in = staged(shared.join(alike, "block"), "jaccard-members")
+    dropped(shared)
     # The first of a block is the class that meets the most others: it stands in the middle of its copies.
-    met = met_in.groupBy("cid").agg(F.count(F.lit(1)).alias("met"))
+    met = met_in.groupBy("cid").agg(F.sum("weight").alias("met"))
     first = met_in.join(met, "cid").groupBy("block").agg(F.max(F.struct("met", (-F.col("cid")).alias("last"), "n")).alias("m"))
     first = staged(first.select("block", (-F.col("m.last")).alias("pivot"), F.col("m.n").alias("pivot_n")), "jaccard-first")
-    members = staged(met_in.join(first, "block"), "jaccard-blocked")
+    members = staged(met_in.drop("weight").join(first, "block"), "jaccard-blocked")
     dropped(met_in, first)
 
     fits = (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")) & (F.col("cid") != F.col("pivot"))
@@ -363,7 +407,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     groups = -(-dealt.count() // (2 * TILE)) or 1
     dealt = dealt.withColumn("g", F.pmod("tree", F.lit(groups))).join(points.select("cid", "vec"), "cid")
     more = dealt.groupBy("g").applyInArrow(lambda t: _tree_join(t, percent), "a long, b long").distinct()
-    links = links.union(classes.verified(more))
+    links = links.union(classes.verified(more, bounded=True))
     dropped(m, points)
 
     # Rows of one id are one document, whatever their texts.

@@ -135,6 +135,53 @@ def test_prefixes_of_similar_sets_meet():
                 assert heads[0] & heads[1]
 
 
+def test_more_groups_keep_the_bound():
+    rng = random.Random(3)
+    sets = []
+    for n in (1, 100, 128, 129, 300, 1000, 5000, 5000, 30_000):
+        a = [rng.randrange(1 << 63) for _ in range(n)]
+        sets += [a, a[n // 20 :], a[n // 3 :] + [rng.randrange(1 << 63) for _ in range(n // 3)], [rng.randrange(1 << 63) for _ in range(n)]]
+    raws, sizes = [jaccard.counted(np.array(s, np.uint64)) for s in sets], np.array([len(s) for s in sets])
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    points = jaccard.folded(raws, sizes)
+    assert (points.sum(axis=1) == sizes).all() and points.shape[1] == jaccard.DIMS
+    for percent in (80, 85):
+        coarse = (100 + percent) * np.minimum(points[a], points[b]).sum(axis=1) >= percent * (sizes[a] + sizes[b])
+        passed = jaccard.can_link(raws, sizes, a, b, percent, at_once=20_000)
+        x = np.array([len(set(sets[i]) & set(sets[j])) for i, j in zip(a, b)])
+        linked = 100 * x >= percent * (sizes[a] + sizes[b] - x)
+        assert not (linked & ~passed).any() and not (passed & ~coarse).any()
+        assert passed.sum() < coarse.sum()
+
+
+def test_pairs_that_leave_the_trees(spark, monkeypatch):
+    """Texts of about 0.7 that share their words in many blocks, of which none link: few pairs go on to be verified, and equal blocks are one."""
+    made = {}
+    real = jaccard.staged
+
+    def counts(df, name):
+        out = real(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counts)
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for at in rng.sample(range(400), 7):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text)))
+    passage = " ".join(f"p{k}" for k in range(200))
+    rows += [(100 + i, f"{passage} " + " ".join(f"q{i}x{k}" for k in range(300))) for i in range(3)]
+    rows += [(200 + i, " ".join(f"z{k}" for k in range(200)) + " end" * i) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert joined(docs, words=5, percent=80) == by_rows(rows, 5, 80)
+    assert sum(made["jaccard-near"]) < 60 * 59 // 2 // 10
+    assert made["jaccard-members"][0] < made["jaccard-shared"][0]
+
+
 def test_rtree_passes_all_that_the_bound_passes():
     rng = np.random.default_rng(1)
     vecs = rng.poisson(3, (300, 16)).astype(np.int32)
